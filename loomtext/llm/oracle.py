@@ -35,6 +35,16 @@ p as (
 )
 """
 
+_KEYS = r"""
+k as (
+  select link_id, coalesce('q:' || nullif(regexp_replace(upper(trim(qid, e' \t\r\n')), '^WD:', ''), ''),
+                           'm:' || nullif(lower(trim(regexp_replace(mention, '[ \t\r\n]+', ' ', 'g'))), '')) as key
+  from linked_entities
+  union all select -1, 'q:' || nullif(regexp_replace(upper(trim(record.qid, e' \t\r\n')), '^WD:', ''), '') from kb_search
+  union all select -1, 'm:' || nullif(lower(trim(regexp_replace(mention, '[ \t\r\n]+', ' ', 'g'))), '') from kb_search
+), f as (select key, min(link_id) as first from k where key is not null group by key)
+"""
+
 ORACLE = {
     "p1_found": f"with recursive {_SHINGLES}, {_LINKS.format(t=0.6)}, {_GROUPS} select x.node as article_no_a, y.node as article_no_b from g x join g y on x.g = y.g and x.node < y.node",
     "p4_found": f"with {_SHINGLES}, {_LINKS.format(t=0.6)}, {_OVERLAP} select distinct least(t, e) as article_no_a, greatest(t, e) as article_no_b from o",
@@ -43,4 +53,5 @@ ORACLE = {
       m as (select split, outlet, count(*) as n_rows from p where not train group by all)
       select reason, p.split, p.outlet, any_value(n_rows) as n_rows, count(*) as n_hit, sum(pairs)::bigint as n_pairs
       from h join p on p.id = h.e join m on m.split = p.split and m.outlet is not distinct from p.outlet group by all""",
+    "p3_found": f"with {_KEYS} select link_id from k join f using (key) where first < link_id",
 }

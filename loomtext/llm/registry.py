@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, overlap
+from . import neardup, overlap, seen
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -32,4 +32,13 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_read(spark, d, "articles"), threshold=0.6)
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_report": p4_report}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    answers = seen.linked_entities_seen(_read(spark, d, "linked_entities"), _read(spark, d, "kb_search"))
+    return answers.where("seen and not history").select(F.col("no").alias("link_id"))
+
+
+def p3_audit(spark: SparkSession, d: str) -> DataFrame:
+    return seen.audit(_read(spark, d, "linked_entities"), _read(spark, d, "kb_search"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report}
