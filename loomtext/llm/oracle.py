@@ -45,6 +45,20 @@ k as (
 ), f as (select key, min(link_id) as first from k where key is not null group by key)
 """
 
+_TERMS = r"""
+x as (select article_no, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from articles),
+y as (select term, count(*) as n_occurrences, count(distinct article_no) as n_records from x group by term),
+z as (select y.*, case when n_records < 2 then 'rare' when n_records > 0.8 * (select count(distinct article_no) from x) then 'common' end as mark from y)
+"""
+
+_FREQUENT = r"""
+i as (
+  select 'qid' as field, nullif(regexp_replace(upper(trim(qid, e' \t\r\n')), '^WD:', ''), '') as item from linked_entities
+  union all select 'mention', lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))) from mentions
+), c as (select field, item, count(*) as n from i where item is not null group by all),
+q as (select field, item from c qualify n >= 0.008 * sum(n) over (partition by field))
+"""
+
 ORACLE = {
     "p1_found": f"with recursive {_SHINGLES}, {_LINKS.format(t=0.6)}, {_GROUPS} select x.node as article_no_a, y.node as article_no_b from g x join g y on x.g = y.g and x.node < y.node",
     "p4_found": f"with {_SHINGLES}, {_LINKS.format(t=0.6)}, {_OVERLAP} select distinct least(t, e) as article_no_a, greatest(t, e) as article_no_b from o",
@@ -54,4 +68,7 @@ ORACLE = {
       select reason, p.split, p.outlet, any_value(n_rows) as n_rows, count(*) as n_hit, sum(pairs)::bigint as n_pairs
       from h join p on p.id = h.e join m on m.split = p.split and m.outlet is not distinct from p.outlet group by all""",
     "p3_found": f"with {_KEYS} select link_id from k join f using (key) where first < link_id",
+    "p6_found": f"with {_FREQUENT} select field, item from q",
+    "p7_found": f"with {_TERMS} select term, mark from z where mark is not null",
+    "p7_terms": f"with {_TERMS} select * from z",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, overlap, seen
+from ..operators.stitch import normal_qid
+from . import frequent, neardup, overlap, seen, terms
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -41,4 +42,27 @@ def p3_audit(spark: SparkSession, d: str) -> DataFrame:
     return seen.audit(_read(spark, d, "linked_entities"), _read(spark, d, "kb_search"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report}
+def _frequent(spark: SparkSession, d: str) -> DataFrame:
+    qids = _read(spark, d, "linked_entities").select(F.lit("qid").alias("field"), normal_qid(F.col("qid")).alias("item"))
+    blank = F.when(F.col("text").isNotNull(), F.coalesce(seen.normal_mention(F.col("text")), F.lit("")))
+    mentions = _read(spark, d, "mentions").select(F.lit("mention").alias("field"), blank.alias("item"))
+    return frequent.frequent_items(qids.union(mentions), 0.008)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _frequent(spark, d).select("field", "item")
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _frequent(spark, d)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return terms.term_table(_read(spark, d, "articles"), "article_no", "text").where("mark is not null").select("term", "mark")
+
+
+def p7_terms(spark: SparkSession, d: str) -> DataFrame:
+    return terms.term_table(_read(spark, d, "articles"), "article_no", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_terms": p7_terms}
