@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stitch import normal_qid
-from . import frequent, neardup, overlap, seen, terms
+from . import frequent, mixing, neardup, overlap, packing, seen, terms
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -65,4 +65,20 @@ def p7_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_table(_read(spark, d, "articles"), "article_no", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_terms": p7_terms}
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_read(spark, d, "documents"), _read(spark, d, "container_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_pack(spark, d))
+
+
+def p9_uses(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(*mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_terms": p7_terms, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares}
