@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stitch import normal_qid
-from . import frequent, mixing, neardup, overlap, packing, seen, terms
+from . import frequent, mixing, neardup, overlap, packing, reading, seen, terms
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -81,4 +81,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(*mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_terms": p7_terms, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(_read(spark, d, "documents"), _read(spark, d, "reading_labels")).select("doc_id", "reading_level")
+
+
+def p10_validation(spark: SparkSession, d: str) -> DataFrame:
+    return reading.validation(_read(spark, d, "documents"), _read(spark, d, "reading_labels"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_terms": p7_terms, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
