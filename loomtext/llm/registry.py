@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stitch import normal_qid
-from . import frequent, mixing, neardup, overlap, packing, reading, seen, terms
+from . import frequent, mixing, names, neardup, overlap, packing, reading, seen, terms
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -89,4 +89,21 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     return reading.validation(_read(spark, d, "documents"), _read(spark, d, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_terms": p7_terms, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    linked = _read(spark, d, "linked_entities").withColumn("known", normal_qid(F.col("qid")))
+    known = linked.where("known is not null").select(F.col("article_no").alias("grp"), F.col("known").alias("qid"))
+    found = names.link_variants(linked.where("known is null"), "link_id", "mention", "article_no", names.known_names(_read(spark, d, "kb_search")), known)
+    return found.select(F.col("id").alias("link_id"), "qid")
+
+
+def p5_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The mentions behind unresolved rows, by their own text."""
+    linked = _read(spark, d, "linked_entities").withColumn("known", normal_qid(F.col("qid")))
+    open_rows = linked.where("known is null").select("mention_id").distinct()
+    mentions = _read(spark, d, "mentions").join(open_rows, "mention_id", "left_semi")
+    known = linked.where("known is not null").select(F.col("article_no").alias("grp"), F.col("known").alias("qid"))
+    found = names.link_variants(mentions, "mention_id", "text", "article_no", names.known_names(_read(spark, d, "kb_search")), known)
+    return found.select(F.col("id").alias("mention_id"), "qid", "cost")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_mentions": p5_mentions, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_terms": p7_terms, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
