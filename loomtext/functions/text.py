@@ -44,7 +44,7 @@ def tokens(text: Column, pattern: str = WORDS) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences; empty ones stay, for the caps count them."""
-    return F.transform(F.split(whole(text), SENTENCE_END), F.trim)
+    return F.transform(F.split(whole(text), SENTENCE_END), lambda s: F.btrim(s, F.lit(" \t\r\n\x0b\x0c")))
 
 
 def sentence_tokens(text: Column, max_sentences: int = 40, max_tokens: int = 64) -> Column:

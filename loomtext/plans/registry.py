@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import training
+from . import corpus_queries, training
 
-FLAGSHIP = "p2_found"
-QUERIES = {**training.QUERIES}
-ORACLE = {**training.ORACLE}
+FLAGSHIP = "token_heavy_hitters"
+_ALL = (corpus_queries, training)
+QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in _ALL for k, s in m.ORACLE.items()}
