@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, training
+from . import corpus_queries, text_queries, training
 
 FLAGSHIP = "token_heavy_hitters"
-_ALL = (corpus_queries, training)
+_ALL = (corpus_queries, text_queries, training)
 QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _ALL for k, s in m.ORACLE.items()}
