@@ -61,4 +61,4 @@ def train(triples: DataFrame, dim: int = 32, epochs: int = 40, rate: float = 1e-
         e, v, _ = fit(h, r, tl, len(ents), len(rels), dim, epochs, rate, margin, batch, patience, seed)
         return pa.table({"kind": ["entity"] * len(ents) + ["relation"] * len(rels), "key": ents + rels, "vec": [x.tolist() for x in np.concatenate([e, v])]})
 
-    return sample.groupBy(F.lit(1)).applyInArrow(run, "kind string, key string, vec array<double>")
+    return sample.groupBy().applyInArrow(run, "kind string, key string, vec array<double>")

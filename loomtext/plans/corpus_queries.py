@@ -208,6 +208,9 @@ size as (select n, greatest(8, cast(ceil(-n * ln(0.01) / (ln(2) * ln(2))) as big
 bit as (select distinct cast('0x' || substr(md5(i || '|' || item), 1, 15) as bigint) % bits as bit from item, size, range(20) r(i) where i < hashes)
 """
 
+_MENTIONS = f"""with f as (select *, row_number() over (partition by article_no, lower(text) order by start_pos nulls first, mention_id) as k from mentions where text is not null and label in {KEEP_LABELS}),
+        p as (select *, row_number() over (partition by article_no order by start_pos nulls first, mention_id) as pos from f where k = 1) select article_no, pos, mention_id, text, label from p where pos <= 25"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -252,8 +255,7 @@ ORACLE = {
     "link_counters": f"with {LINKED} select count(qid) as resolved, count(*) - count(qid) as unresolved, count(distinct qid) as n_entities, round(count(qid) / greatest(count(*), 1), 9) as share from linked",
     "mention_frequency": f"with {_CLEAN} select clean as mention, count(*) as n, row_number() over (order by count(*) desc, clean) as rank from clean where length(clean) >= 2 and not regexp_full_match(clean, '[0-9]+') group by clean order by n desc, clean limit 8000",
     "clean_mentions": f"with {_CLEAN} select mention_id, clean, length(clean) < 2 or regexp_full_match(clean, '[0-9]+') as noise from clean",
-    "article_mentions": f"""with f as (select *, row_number() over (partition by article_no, lower(text) order by start_pos nulls first, mention_id) as k from mentions where text is not null and label in {KEEP_LABELS}),
-        p as (select *, row_number() over (partition by article_no order by start_pos nulls first, mention_id) as pos from f where k = 1) select article_no, pos, mention_id, text, label from p where pos <= 25""",
+    "article_mentions": _MENTIONS,
     "regex_mentions": rf"""with {DOCS}, m as (select id, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\b([A-Z][a-zA-Z''\-]+(?:\s+[A-Z][a-zA-Z''\-]+){{0,3}})\b', 1)) as mention from docs)
         select id, mention, count(*) as n from m where regexp_extract(mention, '^\S+') not in ('The', 'A', 'An', 'On', 'In', 'Of', 'At', 'And', 'To') group by all""",
 }
