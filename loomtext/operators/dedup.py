@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,23 @@ def distinct_texts(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
 
 
 def signatures(shingled: DataFrame, permutations: int = 128) -> DataFrame:
-    """(id, sig): per permutation the least hash over the shingles; one partial aggregate per document before any exchange."""
-    h = shingled.select("id", F.explode("sh").alias("s")).select("id", (hash32(F.col("s")) % PRIME).alias("h"))
-    least = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in ((i, permutation(i)) for i in range(permutations))]
-    return h.groupBy("id").agg(*least).select("id", F.array(*[f"m{i}" for i in range(permutations)]).alias("sig"))
+    """(id, sig): per permutation the least hash over the shingles of a document. Hashes are made in the JVM, permutations as matrices on Arrow batches; nothing is shuffled."""
+    pairs = np.array([permutation(i) for i in range(permutations)], np.int64)
+    a, b = pairs[:, :1], pairs[:, 1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("h")
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            out = np.empty((batch.num_rows, permutations), np.int64)
+            for i in range(batch.num_rows):
+                h = flat[ends[i] : ends[i + 1]]
+                out[i] = ((h * a + b) % PRIME).min(axis=1)
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, permutations, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sig], ["id", "sig"])
+
+    hashed = shingled.where(F.size("sh") > 0).select("id", F.transform("sh", lambda s: hash32(s) % PRIME).alias("h"))
+    return hashed.mapInArrow(run, "id bigint, sig array<bigint>")
 
 
 def share_equal(a: Column, b: Column, permutations: int) -> Column:
