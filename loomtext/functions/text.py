@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,11 +62,20 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(whole(text), r"\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once, however often the body uses it, also inside further lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(words: Column, k: int = 5) -> Column:
     """Distinct runs of k tokens; all tokens as one run where there are fewer; none without tokens."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n >= k, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(n > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)
 
 
 def clean_mention(text: Column) -> Column:

@@ -46,7 +46,8 @@ def rouge_n(rows: DataFrame, n: int) -> DataFrame:
     def grams(c: str) -> DataFrame:
         words = F.filter(F.split(F.lower(X.whole(F.col(c))), r"\s+"), lambda w: w != "")
         w = rows.select("id", words.alias("w"))
-        runs = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        runs = X.let(F.col("w"), lambda x: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), " "))).otherwise(none))
         return w.select("id", F.explode(runs).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
 
     p, r = grams("predicted"), grams("reference")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import corpus
 from ..operators.stitch import normal_qid
 
@@ -15,7 +16,7 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """The articles of both datasets in one schema."""
-    return corpus.articles(read(spark, d, "articles"))
+    return corpus.articles(scratch.spread(read(spark, d, "articles")))
 
 
 def linked(spark: SparkSession, d: str) -> DataFrame:
