@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import scratch
@@ -39,10 +39,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = scratch.keep(out, "edges")
+        watch = Observation()
+        e = scratch.keep(out.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
         scratch.forget([before])
         before = scratch.path_of()
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        state = (watch.get["n"], watch.get["h"])
         if state == seen:
             break
         seen = state
