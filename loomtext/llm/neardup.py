@@ -11,8 +11,9 @@ exact shingle sets; links are joined to groups.
 
 Rows whose words are the same are one class and are signed once. A key shared
 by more than `dense` classes is not expanded into pairs: all its members are
-verified against the least one, and only members that fail are compared with
-the whole bucket, which leaves the groups exact.
+verified against the least one, and members that are then still in another
+component are compared with the rest of the bucket, which leaves the groups
+exact.
 """
 
 from __future__ import annotations
@@ -66,12 +67,31 @@ def _bucket_pairs(members: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]
     return pairs, stars
 
 
+def _across(stars: DataFrame, comps: DataFrame, done: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links between members of one large bucket that still lie in different components.
+
+    A member meets some thirty stars, so almost all of a bucket hangs together
+    by now, and only members outside the component of the bucket's least one
+    are compared with the others. No link that joins components is left out.
+    """
+    members = stars.select("key", F.col("a").alias("pivot"), F.col("b").alias("id")).union(stars.select("key", F.col("a").alias("pivot"), F.col("a").alias("id")).distinct())
+    c = comps.select(F.col("node").alias("id"), "component")
+    members = members.join(c, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    p = comps.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
+    members = scratch.keep(members.join(p, "pivot", "left").select("key", "id", "c", F.coalesce("pc", "pivot").alias("pc")), "members")
+    apart = members.where("c <> pc").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
+    rest = apart.join(members.select("key", F.col("id").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return jaccard_links(scratch.keep(rest.join(done, ["a", "b"], "left_anti"), "rest"), docs, "id", "text", k, threshold)
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 5, dense: int = 32) -> DataFrame:
     """One row per document with enough words: (id, rep, group_no, n_links).
 
     rep is the least id with the same words, group_no the least id of all
     documents that hang together by links of at least `threshold`, n_links the
-    number of links of the row's class to other classes. Similarity is shared
+    number of verified links of the row's class to other classes (in buckets
+    over `dense`, those that were needed to join the group). Similarity is shared
     distinct runs of k words over all distinct runs of either text.
 
     id_col must be unique and not null. Null, empty and short texts (fewer
@@ -89,13 +109,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, k: int =
     stars = scratch.keep(stars, "stars")
     first = scratch.keep(pairs.union(stars.select("a", "b")).distinct(), "pairs")
     links = scratch.keep(jaccard_links(first, docs, "id", "text", k, threshold), "links")
-    if not stars.isEmpty():
-        failed = stars.join(links, ["a", "b"], "left_anti").select("key", F.col("b").alias("x"))
-        bucket = stars.select("key", F.col("b").alias("y")).union(stars.select("key", F.col("a").alias("y"))).distinct()
-        rest = failed.join(bucket, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = scratch.keep(rest.join(first, ["a", "b"], "left_anti"), "rest")
-        links = scratch.keep(links.union(jaccard_links(rest, docs, "id", "text", k, threshold)), "links")
     comps = connected_components(links)
+    if not stars.isEmpty():
+        links = scratch.keep(links.union(_across(stars, scratch.keep(comps, "comps"), first, docs, k, threshold)), "links")
+        comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     of_rep = comps.withColumnRenamed("node", "rep").join(degree, "rep", "left")
     out = classes.join(of_rep, "rep", "left")

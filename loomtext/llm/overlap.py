@@ -59,6 +59,13 @@ def prepared(articles: DataFrame) -> DataFrame:
     return a.where(F.col("split").isin("train", "val", "test", "heldout")).withColumn("train", F.col("split") == "train")
 
 
+def titles(a: DataFrame, min_words: int, title_words: int) -> DataFrame:
+    """(id, train, short, key) of rows with a title of title_words words or more."""
+    few = F.coalesce(F.size(words(F.col("text"))), F.lit(0)) < min_words
+    titled = a.select("id", "train", words(F.col("title")).alias("w"), few.alias("short")).where(F.size("w") >= title_words)
+    return titled.select("id", "train", "short", F.concat_ws(" ", "w").alias("key"))
+
+
 def overlaps(articles: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 30, title_words: int = 5) -> DataFrame:
     """(t, e, reason): every pair of a training row and an evaluation row that repeat each other.
 
@@ -77,16 +84,36 @@ def overlaps(articles: DataFrame, k: int = 5, threshold: float = 0.8, min_words:
     by_text = both.join(t, "a").join(e, "b").select("t", "e", F.lit("text").alias("reason"))
     ids = a.select("id", "train", "dataset", normal_id(F.col("own_id")).alias("own")).where("own is not null and dataset is not null")
     by_id = ids.where("train").select(F.col("id").alias("t"), "dataset", "own").join(ids.where("not train").select(F.col("id").alias("e"), "dataset", "own"), ["dataset", "own"]).select("t", "e", F.lit("id").alias("reason"))
-    titled = a.select("id", "train", words(F.col("title")).alias("w"), (F.coalesce(F.size(words(F.col("text"))), F.lit(0)) < min_words).alias("short")).where(F.size("w") >= title_words)
-    titled = titled.select("id", "train", "short", F.concat_ws(" ", "w").alias("key"))
+    titled = titles(a, min_words, title_words)
     by_title = titled.where("train").select(F.col("id").alias("t"), F.col("short").alias("s"), "key").join(titled.where("not train").select(F.col("id").alias("e"), "short", "key"), "key").where("s or short").select("t", "e", F.lit("title").alias("reason"))
     return by_text.union(by_id).union(by_title)
 
 
+def overlap_counts(articles: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 30, title_words: int = 5) -> DataFrame:
+    """(e, reason, pairs): in how many pairs of `overlaps` each evaluation row is, for rows in any.
+
+    Training rows are counted per class, id and title before they meet the
+    evaluation rows, so no pair of copies is ever written out.
+    """
+    a = prepared(articles)
+    classes, links = class_links(a, k, threshold, min_words)
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    per_class = classes.where("train").groupBy(F.col("rep").alias("a")).agg(F.count("*").alias("n"))
+    per_link = both.join(per_class, "a").groupBy(F.col("b").alias("rep")).agg(F.sum("n").alias("pairs"))
+    by_text = classes.where("not train").join(per_link, "rep").select(F.col("id").alias("e"), F.lit("text").alias("reason"), "pairs")
+    ids = a.select("id", "train", "dataset", normal_id(F.col("own_id")).alias("own")).where("own is not null and dataset is not null")
+    per_id = ids.where("train").groupBy("dataset", "own").agg(F.count("*").alias("pairs"))
+    by_id = ids.where("not train").join(per_id, ["dataset", "own"]).select(F.col("id").alias("e"), F.lit("id").alias("reason"), "pairs")
+    titled = titles(a, min_words, title_words)
+    per_title = titled.where("train").groupBy("key").agg(F.count("*").alias("n_all"), F.count(F.when(F.col("short"), 1)).alias("n_short"))
+    by_title = titled.where("not train").join(per_title, "key").select(F.col("id").alias("e"), F.lit("title").alias("reason"), F.when(F.col("short"), F.col("n_all")).otherwise(F.col("n_short")).alias("pairs"))
+    return by_text.union(by_id).union(by_title).where("pairs > 0")
+
+
 def overlap_report(articles: DataFrame, threshold: float = 0.8, min_words: int = 30) -> DataFrame:
     """(reason, split, outlet, n_rows, n_hit, n_pairs): per evaluation split and outlet how many rows there are, how many repeat a training row, and in how many pairs."""
     a = prepared(articles).where("not train").select(F.col("id").alias("e"), "split", "outlet")
-    hits = overlaps(articles, 5, threshold, min_words).groupBy("e", "reason").agg(F.count("*").alias("pairs"))
+    hits = overlap_counts(articles, 5, threshold, min_words)
     per = hits.join(a, "e").groupBy("reason", "split", "outlet").agg(F.count("*").alias("n_hit"), F.sum("pairs").alias("n_pairs"))
     rows = a.groupBy("split", "outlet").agg(F.count("*").alias("n_rows"))
     joined = per.alias("p").join(rows.alias("r"), (F.col("p.split") == F.col("r.split")) & F.col("p.outlet").eqNullSafe(F.col("r.outlet")))
