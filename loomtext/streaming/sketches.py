@@ -18,7 +18,7 @@ from ..operators import sketches
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """A Parquet table as a stream of its files."""
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(path)
 
 
