@@ -179,15 +179,15 @@ class BoostedTrees:
 
 
 def cut_points(score: np.ndarray, level: np.ndarray, levels: int = 4) -> np.ndarray:
-    """Scores at which the grade rises, each the middle of the stretch that puts most labels on their side."""
+    """Scores at which the grade rises, each the middle of the stretch of cuts that put most labels on their side."""
     cuts = []
     for k in range(1, levels):
         upper = level >= k + 0.5
         order = np.argsort(score, kind="stable")
         wrong = np.concatenate([[0], np.cumsum(upper[order])]) + np.concatenate([np.cumsum(~upper[order][::-1])[::-1], [0]])
         edge = np.concatenate([[score.min() - 1], (score[order][1:] + score[order][:-1]) / 2, [score.max() + 1]])
-        least = np.flatnonzero(wrong == wrong.min())
-        cuts.append(float(np.clip(edge[least[len(least) // 2]], k + 0.1, k + 0.9)))
+        near = np.flatnonzero(wrong <= wrong.min() + max(1.0, 0.5 * np.sqrt(wrong.min())))  # raters err, so cuts a label or two worse are as good
+        cuts.append(float(np.clip((edge[near[0]] + edge[near[-1]]) / 2, k + 0.1, k + 0.9)))
     return np.maximum.accumulate(np.array(cuts))
 
 

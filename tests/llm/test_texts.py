@@ -160,9 +160,12 @@ def test_trees_learn():
 
 
 def test_cut_points():
-    score = np.array([1.0, 1.1, 2.0, 2.1, 3.0, 3.1, 4.0])
-    cuts = reading.cut_points(score, np.array([1, 1, 2, 2, 3, 3, 4.0]))
-    assert (1 + np.searchsorted(cuts, score, "right") == [1, 1, 2, 2, 3, 3, 4]).all()
+    rng = np.random.default_rng(2)
+    level = rng.integers(1, 5, 400).astype(float)
+    score = level + rng.normal(0, 0.1, 400)
+    wrong = rng.random(400) < 0.05
+    cuts = reading.cut_points(score, np.where(wrong, np.clip(level + rng.choice([-1, 1], 400), 1, 4), level))
+    assert (np.abs(cuts - [1.5, 2.5, 3.5]) < 0.25).all() and (1 + np.searchsorted(cuts, score, "right") == level).mean() > 0.98
 
 
 def test_reading_levels(spark):
