@@ -51,3 +51,10 @@ def synonym_replace(tokens: DataFrame, synonyms: DataFrame, topics: DataFrame, p
     rows = rows.join(synonyms.withColumnRenamed("word", "_w"), "_w", "left").join(topics.select(F.col("word").alias("_w"), F.lit(True).alias("_topic")).distinct(), "_w", "left")
     swap = (F.col("_u") < prob) & F.col("_topic").isNull() & (F.size("synonyms") > 0)
     return rows.select("id", "pos", F.when(swap, F.get("synonyms", F.pmod("_h", F.size("synonyms")).cast("int"))).otherwise(F.col("token")).alias("token"))
+
+
+def augmented(rows: DataFrame, synonyms: DataFrame, topics: DataFrame, prob: float = 0.1, threshold: float = 0.6, seed: int = 1) -> DataFrame:
+    """(id, tokens): synonyms put in, then repetitive tokens dropped; from (id, tokens). Rows without tokens are left out."""
+    flat = rows.select("id", F.posexplode("tokens").alias("pos", "token"))
+    swapped = synonym_replace(flat, synonyms, topics, prob, seed).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("xs"))
+    return coverage_filter(swapped.select("id", F.col("xs.token").alias("tokens")), threshold)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +33,16 @@ def train_and_score(docs: DataFrame, features: int = 1 << 18, iterations: int =
 def masked(vec: str, mode: str, keeps: tuple[str, ...]):
     """The vector, or zeros of its size where the ablation mode leaves it out."""
     return F.col(vec) if mode in keeps else F.transform(F.col(vec), lambda _: F.lit(0.0))
+
+
+def decide(rows: DataFrame, mode: str = "both", hidden: int = 16, iterations: int = 60, seed: int = 5) -> DataFrame:
+    """(id, split, label, score) by a small network on the text and graph vectors, put together after the mode's mask; from (id, split, label, text, kg), both arrays of one size in all rows.
+
+    Learned from the labelled training rows; a table without them raises.
+    """
+    joined = F.concat(masked("text", mode, ("both", "text_only")), masked("kg", mode, ("both", "ontology_only")))
+    x = rows.withColumn("_x", array_to_vector(joined))
+    known = x.where("split = 'train' and label is not null")
+    width = len(known.select("_x").first()["_x"])
+    model = MultilayerPerceptronClassifier(layers=[width, hidden, 2], maxIter=iterations, seed=seed, featuresCol="_x", labelCol="label").fit(known)
+    return model.transform(x).select("id", "split", "label", vector_to_array("probability")[1].alias("score"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.hashing import hash60
+from .ordinals import with_ordinal
 
 
 def articles(table: DataFrame) -> DataFrame:
@@ -52,15 +54,13 @@ def label_stats(docs: DataFrame) -> DataFrame:
 def stratified_split(docs: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """(id, label, part): per label the test part first, then val from the rest, in the order of a hash; exact shares per label, disjoint, covering.
 
-    Rows without a label form a stratum of their own. Positions come from a
-    window over the label, sorted externally.
+    Rows without a label form a stratum of their own. Positions inside a label
+    come from dense global positions, so no task holds a whole label.
     """
-    from ..functions.hashing import hash60
-
-    h = hash60(seed, F.col("id").cast("string"))
-    w = Window.partitionBy("label")
-    rows = docs.select("id", "label", h.alias("h"))
-    at = rows.withColumn("at", F.row_number().over(w.orderBy("h", "id"))).withColumn("n", F.count("*").over(w))
+    rows = docs.select("id", "label", hash60(seed, F.col("id").cast("string")).alias("h"))
+    at = with_ordinal(rows, "label", "h", "id")
+    labels = at.groupBy("label").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")).withColumnRenamed("label", "_label")
+    at = at.join(F.broadcast(labels), F.col("label").eqNullSafe(F.col("_label"))).withColumn("at", F.col("ordinal") - F.col("first") + 1)  # one row per label
     n_test = F.round(F.col("n") * (1 - train - val))
     n_val = F.round((F.col("n") - n_test) * (val / (train + val)))
     part = F.when(F.col("at") <= n_test, "test").when(F.col("at") <= n_test + n_val, "val").otherwise("train")

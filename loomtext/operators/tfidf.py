@@ -36,6 +36,13 @@ def encode(tokens: DataFrame, vocab: DataFrame, max_len: int = 400) -> DataFrame
     return tokens.where(F.col("pos") < max_len).join(small, "token", "left").select("id", "pos", F.coalesce("token_id", F.lit(1)).alias("token_id"))
 
 
+def padded(encoded: DataFrame, length: int) -> DataFrame:
+    """(id, n, ids): token numbers of each document as one array, cut or padded with 0 to `length`."""
+    rows = encoded.where(F.col("pos") < length).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("xs"))
+    ids = F.col("xs.token_id")
+    return rows.select("id", F.size(ids).alias("n"), F.concat(ids, F.array_repeat(F.lit(0), F.lit(length) - F.size(ids))).alias("ids"))
+
+
 def pseudo_vector(token, dim: int):
     """A vector in [-1, 1) per token from the hash family, for words without a trained one."""
     return F.array(*[2 * (hash60(100 + i, token) / F.lit(float(1 << 60))) - 1 for i in range(dim)])

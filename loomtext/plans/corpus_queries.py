@@ -17,6 +17,12 @@ def token_counts_top50(spark: SparkSession, d: str) -> DataFrame:
     return corpus.ranked(corpus.token_counts(docs(spark, d)), "token", "n", 50)
 
 
+def zipf_series(spark: SparkSession, d: str) -> DataFrame:
+    """Logarithms of rank and frequency of the 2 000 most frequent tokens, the series of the rank-frequency figure."""
+    top = corpus.ranked(corpus.token_counts(docs(spark, d)), "token", "n", 2000)
+    return top.select("rank", F.round(F.log10("rank"), 6).alias("log_rank"), F.round(F.log10("n"), 6).alias("log_n"))
+
+
 def token_bars(spark: SparkSession, d: str) -> DataFrame:
     top = corpus.ranked(corpus.token_counts(docs(spark, d)), "token", "n", 30)
     return top.select("rank", "token", X.text_bar(F.col("n"), F.max("n").over(Window.partitionBy(F.lit(1)))).alias("bar"))
@@ -214,7 +220,7 @@ _MENTIONS = f"""with f as (select *, row_number() over (partition by article_no,
 QUERIES = {
     f.__name__: f
     for f in (
-        token_heavy_hitters, token_counts_top50, token_bars, corpus_stats, label_stats, label_counts, sentences_per_doc, capped_tokens, alnum_token_stats,
+        token_heavy_hitters, token_counts_top50, zipf_series, token_bars, corpus_stats, label_stats, label_counts, sentences_per_doc, capped_tokens, alnum_token_stats,
         collapsed_lines, unified_articles, stratified_split, cms_cells, cms_estimates, cms_heavy_hitters, cms_error, native_token_sketches, bloom_bits,
         bloom_probe, bloom_stats, entity_frequency, link_counters, mention_frequency, clean_mentions, article_mentions, regex_mentions, regex_mention_offsets,
     )
@@ -223,6 +229,7 @@ QUERIES = {
 ORACLE = {
     "token_heavy_hitters": f"with {_CELLS} select item, n, estimate, row_number() over (order by n desc, item) as rank from est order by n desc, item limit 50",
     "token_counts_top50": f"with {DOCS}, {TOKENS} select token, count(*) as n, row_number() over (order by count(*) desc, token) as rank from tok group by token order by n desc, token limit 50",
+    "zipf_series": f"with {DOCS}, {TOKENS}, t as (select token, count(*) as n, row_number() over (order by count(*) desc, token) as rank from tok group by token order by n desc, token limit 2000) select rank, round(log10(rank), 6) as log_rank, round(log10(n), 6) as log_n from t",
     "token_bars": f"with {DOCS}, {TOKENS}, t as (select token, count(*) as n, row_number() over (order by count(*) desc, token) as rank from tok group by token order by n desc, token limit 30) select rank, token, repeat('█', cast(round(30.0 * n / max(n) over ()) as int)) as bar from t",
     "corpus_stats": f"""with {DOCS}, l as (select len(regexp_extract_all(text, '[A-Za-z]+')) as len from docs), {TOKENS}
         select count(*) as n_docs, cast(sum(len) as bigint) as n_tokens, min(len) as min_len, max(len) as max_len, round(avg(len), 6) as mean_len,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text as X
 from ..operators import augment, classify, comments, kb, kg, metrics, textrank
 from .corpus_queries import _MENTIONS, article_mentions
@@ -136,6 +137,33 @@ def hashing_logreg_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusion(hashing_logreg(spark, d).withColumn("predicted", metrics.decided(F.col("score"))), ["split"])
 
 
+def decision_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the small network on text and graph vectors, one row per article and ablation mode."""
+    wide = feature_matrix(spark, d).groupBy("id", "label").agg(*[F.array_sort(F.collect_list(F.when(F.col("block") == b, F.struct("dim", "value")))).alias(b) for b in ("text", "kg")])
+    rows = scratch.keep(wide.select("id", "label", F.col("text.value").alias("text"), F.col("kg.value").alias("kg")).join(docs(spark, d).select("id", "split"), "id"), "vectors")
+    parts = [classify.decide(rows, m).withColumn("mode", F.lit(m)) for m in ("both", "text_only", "ontology_only")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def ablation_report(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion and measures of each ablation mode on the rows outside the training part."""
+    rows = decision_scores(spark, d).where("split <> 'train'").withColumn("predicted", metrics.decided(F.col("score")))
+    return metrics.confusion(rows, ["mode"])
+
+
+def augmented_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Titles with given names swapped and repetitions dropped."""
+    rows = docs(spark, d).select("id", X.tokens(F.col("title")).alias("tokens"))
+    topics = spark.createDataFrame([("the",), ("and",)], "word string")
+    return augment.augmented(rows, augment.synonym_lists(_name_synonyms(spark, d)), topics, 0.5).select("id", F.array_join("tokens", " ").alias("text"))
+
+
+def _name_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    w = F.split(F.lower("record.label"), " ")
+    two = read(spark, d, "kb_search").where("record.label is not null").select(F.get(w, 1).alias("last"), F.get(w, 0).alias("first")).where("last is not null").distinct()
+    return two.select("last", F.col("first").alias("word")).join(two.select("last", F.col("first").alias("synonym")), "last").select("word", "synonym")
+
+
 def coverage_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = docs(spark, d).select("id", X.tokens(F.col("text")).alias("tokens"))
     return augment.coverage_filter(rows, 0.05).select("id", F.size("tokens").alias("n_kept"))
@@ -143,12 +171,9 @@ def coverage_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def synonyms_replaced(spark: SparkSession, d: str) -> DataFrame:
     """Given names swapped for the other given names of the same surname in the search cache, as a synonym table; tokens of the titles are topics."""
-    w = F.split(F.lower("record.label"), " ")
-    two = read(spark, d, "kb_search").where("record.label is not null").select(F.get(w, 1).alias("last"), F.get(w, 0).alias("first")).where("last is not null").distinct()
-    table = two.select("last", F.col("first").alias("word")).join(two.select("last", F.col("first").alias("synonym")), "last").select("word", "synonym")
     toks = docs(spark, d).select("id", F.posexplode(X.tokens(F.col("title"))).alias("pos", "token"))
     topics = spark.createDataFrame([("the",), ("and",)], "word string")
-    return augment.synonym_replace(toks, augment.synonym_lists(table), topics, 0.5)
+    return augment.synonym_replace(toks, augment.synonym_lists(_name_synonyms(spark, d)), topics, 0.5)
 
 
 _SCORE = f"{LINKED}, s as (select article_no as id, count(*) filter (qid is null) / count(*) as score from linked group by 1), u as (select d.id, split, d.label, round(score, 9) as score, title, text from docs d join s on s.id = d.id)"
@@ -182,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         unresolved_scores, confusion_prf, roc_auc, logit_decisions, rouge1, rouge2, rouge_l, rouge_means, majority_vote, model_reports, report_unpivot, report_pivot,
-        smoothed_losses, comment_flags, comment_texts, domain_guard, feature_matrix, ablation_masks, hashing_logreg, hashing_logreg_report, coverage_filtered, synonyms_replaced,
+        smoothed_losses, comment_flags, comment_texts, domain_guard, feature_matrix, ablation_masks, hashing_logreg, hashing_logreg_report, decision_scores, ablation_report, coverage_filtered, synonyms_replaced, augmented_texts,
     )
 }
 

@@ -53,6 +53,21 @@ def description_checks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("key", "label", kb.description_fits(F.col("record"), F.col("label")).alias("fits"), F.coalesce(kb.class_mismatch(F.col("record"), F.col("classes"), F.col("label")), F.lit(False)).alias("clash"))
 
 
+def best_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Per cached mention and label, of all its lines in file order, the first whose description fits the label, else the first."""
+    lines = read(spark, d, "kb_search").where("mention is not null").groupBy(F.lower("mention").alias("key")).agg(F.array_sort(F.collect_list(F.struct("line_no", "record"))).alias("xs"))
+    labels = F.explode(F.array(*[F.lit(x) for x in ("PERSON", "ORG", "GPE", "LOC")]))
+    rows = lines.select("key", F.col("xs.record").alias("cands"), labels.alias("label"))
+    best = rows.select("key", "label", kb.best_candidate(F.col("cands"), F.col("label")).alias("record"))
+    return best.select("key", "label", "record.qid", "record.description")
+
+
+def entity_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Index of the triple store: per entity its relations, values and class."""
+    rows = kb.claim_rows(claims(spark, d)).groupBy("qid").agg(F.countDistinct("property").alias("n_relations"), F.count("*").alias("n_values"))
+    return rows.join(read(spark, d, "crossview"), "qid", "left").select("qid", "n_relations", "n_values", "class_path")
+
+
 def claims_filtered(spark: SparkSession, d: str) -> DataFrame:
     return kb.claim_rows(claims(spark, d), kb.TOP_RELATIONS)
 
@@ -197,7 +212,7 @@ _NUMBERED = "num as (select entity, row_number() over (order by entity) - 1 as o
 QUERIES = {
     f.__name__: f
     for f in (
-        kb_last_write_wins, kb_stats, kb_purged, link_mentions, link_prioritised, offline_link_counters, description_checks, claims_filtered, claims_all, cache_wanted,
+        kb_last_write_wins, kb_stats, kb_purged, link_mentions, link_prioritised, offline_link_counters, description_checks, best_candidates, entity_triples, claims_filtered, claims_all, cache_wanted,
         qid_batches, kg_triples, kg_member_of, kg_relations, kg_article_entities, kg_entity_index, class_chain, ontology_paths, crossview_built, entities_by_class,
         kg_neighbours_2hop, article_star_edges, class_centroids, membership_refined, membership_loss, kg_encoded, transe_scores, transe_negatives, transe_vectors, mention_label_rows,
     )
@@ -212,6 +227,9 @@ ORACLE = {
     "offline_link_counters": f"with {_LINK} select count(*) filter (cache_hit) as hits, count(*) filter (not cache_hit) as misses, count(rec.qid) as resolved from ln",
     "description_checks": f"""with {_CLEAN}, {_LAST}, m as (select distinct lower(clean) as key, label from clean join mentions using (mention_id) where text is not null and label is not null), s as (select m.key, m.label, record is not null and not {_NM} and {_FITS} as fits, len(k.claims['P31']) > 0 and {_CLASH} as clash from m join lw using (key) left join kb_claims k on k.qid = record.qid)
         select key, label, fits, coalesce(not fits and clash, false) as clash from s""",
+    "best_candidates": f"""with m as (select lower(mention) as key, line_no, record, label from kb_search, (select unnest(['PERSON', 'ORG', 'GPE', 'LOC']) as label) where mention is not null),
+        b as (select key, label, arg_min(record, (case when not {_NM} and ({_FITS.replace('m.label', 'label')}) then 0 else 1 end) * 1000000000 + line_no) as r from m group by key, label) select key, label, r.qid as qid, r.description as description from b""",
+    "entity_triples": f"with {_CLAIMS}, e as (select qid, count(distinct property) as n_relations, count(*) as n_values from cl group by qid) select e.qid, n_relations, n_values, class_path from e left join crossview using (qid)",
     "claims_filtered": f"with {_CLAIMS} select * from cl where property in ('{_TOP}')",
     "claims_all": f"with {_CLAIMS} select * from cl",
     "cache_wanted": f"with {LINKED} select distinct qid from linked where qid is not null and qid not in (select qid from kb_claims)",

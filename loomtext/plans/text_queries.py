@@ -88,6 +88,12 @@ def encoded_sequences(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.encode(rows, vocab_ids(spark, d))
 
 
+def padded_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The first 64 token numbers of every article, padded with 0."""
+    out = tfidf.padded(encoded_sequences(spark, d), 64)
+    return out.select("id", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
 def vocab_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of all tokens and of all different tokens that the vocabulary knows."""
     toks = docs(spark, d).select(F.explode(X.tokens(X.ascii_only(F.col("text")), X.DASHED)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -129,7 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         minhash_signatures, lsh_pairs, dup_clusters, dup_report, dup_sample, exact_dup_groups, idf_table, mean_idf, token_weights, doc_text_vectors,
-        vocab_ids, encoded_sequences, vocab_coverage, cooccurrence_edges, textrank_keywords,
+        vocab_ids, encoded_sequences, padded_sequences, vocab_coverage, cooccurrence_edges, textrank_keywords,
     )
 }
 
@@ -147,6 +153,8 @@ ORACLE = {
         select id, dim, round(sum(weight * v) / sum(weight), 6) as value from wt join tv using (token) group by id, dim""",
     "vocab_ids": f"with {DOCS}, {_DASHED}, {_VOCAB} select token, n, token_id from vocab",
     "encoded_sequences": f"with {DOCS}, {_DASHED}, {_VOCAB} select x.id, x.pos, coalesce(token_id, 1) as token_id from x left join vocab using (token) where x.pos < 400 union all select id, 0, 1 from docs where id not in (select id from x)",
+    "padded_sequences": f"""with {DOCS}, {_DASHED}, {_VOCAB}, e as (select x.id, x.pos, coalesce(token_id, 1) as t from x left join vocab using (token) where x.pos < 64 union all select id, 0, 1 from docs where id not in (select id from x)),
+        l as (select id, count(*) as n, list(t order by pos) as ts from e group by id) select id, n, array_to_string(ts || list_transform(range(64 - n), lambda i: 0), ' ') as ids from l""",
     "vocab_coverage": f"with {DOCS}, {_DASHED}, {_VOCAB}, u as (select token, count(*) as m from x group by token) select round(sum(m) filter (token_id is not null) / sum(m), 9) as of_tokens, round(count(token_id) / count(*), 9) as of_types from u left join vocab using (token)",
     "cooccurrence_edges": f"with {DOCS}, {_DASHED} select p.id, least(p.token, q.token) as a, greatest(p.token, q.token) as b, count(*) as weight from x p join x q on p.id = q.id and q.pos between p.pos + 1 and p.pos + 4 and p.token <> q.token group by all",
 }

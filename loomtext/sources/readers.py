@@ -88,3 +88,9 @@ def eob_schema(spark: SparkSession, path: str, depth: int = 5) -> DataFrame:
         level = level.select("path", F.explode("n.children").alias("name", "n")).select(F.concat_ws(".", F.nullif("path", F.lit("")), "name").alias("path"), F.lit(k).alias("level"), "n")
         out = out.union(level.select("path", "level", "n.attributes"))
     return out.where("level > 0")
+
+
+def file_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, modified) of the files at a path, without reading their contents."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    return rows.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

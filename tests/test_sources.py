@@ -81,3 +81,24 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
     assert "## Duplicates" in corpus_report(spark, data)
     assert F is not None
+
+
+def test_settings(tmp_path):
+    import pytest
+
+    from loomtext import config
+
+    (tmp_path / "c.json").write_text(json.dumps({"text": {"shingle": 7}, "graph": {"relations": ["P1"]}}))
+    got = config.load(str(tmp_path / "c.json"), "fast", split={"seed": "3"})
+    assert (got.text.shingle, got.graph.relations, got.graph.epochs, got.split.seed) == (7, ("P1",), 10, 3)
+    with pytest.raises(KeyError):
+        config.load(text={"nothing": 1})
+    config.make_dirs(str(tmp_path / "a" / "b"), str(tmp_path / "f.txt"))
+    assert (tmp_path / "a" / "b").is_dir() and not (tmp_path / "f.txt").exists()
+    assert config.as_dict(got)["text"]["shingle"] == 7
+
+
+def test_file_signatures(spark, tmp_path):
+    (tmp_path / "x.bin").write_text("abc")
+    row = readers.file_signatures(spark, str(tmp_path / "x.bin")).first()
+    assert row["size"] == 3 and row["modified"] is not None
