@@ -3,8 +3,9 @@
 Efraimidis-Spirakis sampling: each document gets the key -ln(u) / w, with u
 from a hash of its id and w its quality weight, and a source is read in order
 of the keys. A source's budget is its share of the total; as many complete
-epochs as fit come first, the rest is the prefix of the source whose size
-comes nearest to it.
+epochs as fit come first, then the prefix of the source that fits into the
+rest. The document at which the rest ends may be long, so it is passed over and
+the LOOK_AHEAD documents behind it are taken while they fit.
 
 The prefix sum is taken in two levels: sizes are added up per source and bin
 of keys (map-side, 4 096 bins), the bin in which the budget ends is found in
@@ -14,32 +15,35 @@ holds a source.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
 from . import tokens as K
 
-BINS, SEED = 4096, 29
+BINS, SEED, LOOK_AHEAD = 4096, 29, 256
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str) -> DataFrame:
-    """(doc_id, source, tokens, key, bin), written once."""
+    """(row, doc_id, source, tokens, key, bin), written once; row numbers the rows, for ids may come again."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.trim(F.col(source_col))).alias("source"), F.col(text_col).alias("text"))
     rows = scratch.spread(rows).mapInArrow(K.sizer("text", vocabulary, ("doc_id", "source"), quality=True), "doc_id bigint, source string, tokens bigint, quality double")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) + F.lit(1)) / F.lit(float(2**53 + 1))
     key = -F.log(u) / F.col("quality")
-    return scratch.keep(rows.withColumn("key", key).withColumn("bin", F.floor(F.col("key") / (1 + F.col("key")) * BINS).cast("int")).drop("quality"), "sized")
+    rows = rows.withColumn("key", key).withColumn("bin", F.floor(F.col("key") / (1 + F.col("key")) * BINS).cast("int")).drop("quality")
+    return scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
 
 
 def plan(items: DataFrame, targets: DataFrame, total_tokens: int | None) -> DataFrame:
-    """(source, target_share, max_repeats, tokens, budget, epochs, rest, edge, before): per source the epochs, and the bin in which the fractional epoch ends.
+    """(source, target_share, max_repeats, tokens, budget, epochs, rest, edge, until, before): per source the epochs, the bin in which the fractional epoch ends with the tokens before it, and the last bin of the look-ahead.
 
     Without total_tokens the total is the largest that every source with
     documents can fill at its share within its repeats.
     """
     t = targets.select(F.lower(F.trim("source_name")).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0")
-    bins = items.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens"))
+    bins = items.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     per = t.join(bins.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     if total_tokens is None:
         most = per.where("tokens > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0]
@@ -48,9 +52,24 @@ def plan(items: DataFrame, targets: DataFrame, total_tokens: int | None) -> Data
     per = per.withColumn("epochs", F.least(F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))), F.col("max_repeats").cast("bigint")))
     per = per.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(0.0))
     w = Window.partitionBy("source").orderBy("bin")
-    sums = bins.where("source is not null").withColumn("through", F.sum("tokens").over(w))
-    edges = sums.join(per.select("source", "rest"), "source").where("through >= rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("through") - F.col("tokens")).alias("before"))).alias("at"))
-    return per.join(edges, "source", "left").select(*per.columns, F.coalesce("at.bin", F.lit(BINS)).alias("edge"), F.coalesce("at.before", F.lit(0)).alias("before"))
+    sums = bins.where("source is not null").withColumn("through", F.sum("tokens").over(w)).withColumn("passed", F.sum("n").over(w))
+    edges = sums.join(per.select("source", "rest"), "source").where("through >= rest").groupBy("source").agg(F.min(F.struct("bin", (F.col("through") - F.col("tokens")).alias("before"), "passed")).alias("at"))
+    ahead = sums.select("source", F.col("bin").alias("b"), F.col("passed").alias("p")).join(edges, "source").where(F.col("p") >= F.col("at.passed") + LOOK_AHEAD).groupBy("source").agg(F.min("b").alias("until"))
+    out = per.join(edges, "source", "left").join(ahead, "source", "left")
+    return out.select(*per.columns, F.coalesce("at.bin", F.lit(BINS)).alias("edge"), F.coalesce("until", F.lit(BINS)).alias("until"), F.coalesce("at.before", F.lit(0)).alias("before"))
+
+
+def _greedy(t: pa.Table) -> pa.Table:
+    """Documents around the end of a source's budget, in order of their keys, taken while they fit."""
+    order = np.lexsort((t["row"].to_numpy(), t["key"].to_numpy()))
+    tokens = t["tokens"].to_numpy()
+    left = t["rest"][0].as_py() - t["before"][0].as_py() if t["rest"][0].as_py() > 0 else -1.0
+    more = np.zeros(len(tokens), np.int64)
+    for i in order:
+        if tokens[i] <= left:
+            more[i] = 1
+            left -= tokens[i]
+    return pa.table({"doc_id": t["doc_id"], "source": t["source"], "tokens": t["tokens"], "uses": pa.array(t["epochs"].to_numpy() + more)})
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = K.VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -59,18 +78,17 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, id
     Documents whose source is null or not among the targets have 0 uses.
     Sources are compared trimmed and lower-cased; targets without a positive
     share and repeats are ignored, one without documents stays empty and shows
-    in the report. Null and empty texts have 0 tokens. Equal keys go by doc_id.
+    in the report. Null and empty texts have 0 tokens. Equal keys go by row.
     Rows of one id count each. Other columns are ignored. Empty tables give an
     empty result.
     """
     items = sized(docs, id_col, text_col, source_col, vocabulary)
     per = scratch.keep(plan(items, targets, total_tokens), "plan")
-    small = F.broadcast(per.select("source", "epochs", "rest", "edge", "before"))  # one row per target source
+    small = F.broadcast(per.select("source", "epochs", "rest", "edge", "until", "before"))  # one row per target source
     rows = items.join(small, "source", "left")
-    sure = rows.where("edge is null or bin <> edge").select("doc_id", "source", "tokens", F.coalesce(F.col("epochs") + F.when((F.col("bin") < F.col("edge")) & (F.col("rest") > 0), 1).otherwise(0), F.lit(0)).alias("uses"))
-    w = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.where("bin = edge").withColumn("ahead", F.col("before") + F.coalesce(F.sum("tokens").over(w), F.lit(0)))
-    last = last.select("doc_id", "source", "tokens", (F.col("epochs") + F.when(F.col("ahead") + F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0)).alias("uses"))
+    near = F.col("bin").between(F.col("edge"), F.col("until"))
+    sure = rows.where(F.col("edge").isNull() | ~near).select("doc_id", "source", "tokens", F.coalesce(F.col("epochs") + F.when((F.col("bin") < F.col("edge")) & (F.col("rest") > 0), 1).otherwise(0), F.lit(0)).alias("uses"))
+    last = rows.where(near).groupBy("source").applyInArrow(_greedy, "doc_id bigint, source string, tokens bigint, uses bigint")
     return sure.union(last), per
 
 

@@ -130,17 +130,27 @@ def test_mixing_budget_and_odd_rows(spark):
 
 
 def test_prefix_is_exact(spark):
-    """The two-level prefix sum chooses what a plain sorted prefix chooses."""
+    """The two-level prefix sum chooses what a plain sorted prefix chooses, and documents behind it close the gap."""
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("word "), (F.col("id") % 17).cast("int") + 1).alias("text"))
     targets = spark.createDataFrame([("s", 1.0, 2)], TARGETS)
-    uses, _ = mixing.mix(docs, targets, total_tokens=5000)
-    items = mixing.sized(docs, "doc_id", "text", "source", K.VOCABULARY).orderBy("key", "doc_id").collect()
+    uses, _ = mixing.mix(docs, targets, total_tokens=5003)
+    items = mixing.sized(docs, "doc_id", "text", "source", K.VOCABULARY).orderBy("key", "row").collect()
     total, want = 0, set()
     for r in items:
-        if total + r["tokens"] / 2 <= 5000:
-            want.add(r["doc_id"])
+        if total + r["tokens"] > 5003:
+            break
+        want.add(r["doc_id"])
         total += r["tokens"]
-    assert {r["doc_id"] for r in uses.where("uses > 0").collect()} == want
+    got = {r["doc_id"] for r in uses.where("uses > 0").collect()}
+    assert want <= got and len(got - want) <= mixing.LOOK_AHEAD
+    assert 5000 <= uses.agg(F.sum(F.col("tokens") * F.col("uses"))).first()[0] <= 5003
+
+
+def test_long_document_does_not_end_a_source(spark):
+    """A document longer than the budget at the head of the order is passed over."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("word "), F.when(F.col("id") % 3 == 0, 5000).otherwise(20)).alias("text"))
+    uses, _ = mixing.mix(docs, spark.createDataFrame([("s", 1.0, 1)], TARGETS), total_tokens=70)
+    assert uses.agg(F.sum(F.col("tokens") * F.col("uses"))).first()[0] >= 60
 
 
 def test_features_are_defined():
