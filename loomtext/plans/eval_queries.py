@@ -223,6 +223,16 @@ ORACLE = {
     "model_reports": f"with {_VOTES}, {_prf('v', 'model', 4)} select * from rep",
     "report_unpivot": f"with {_VOTES}, {_prf('v', 'model', 4)} select model, unnest(['precision', 'recall', 'f1', 'miss_rate']) as metric, unnest([precision, recall, f1, miss_rate]) as value from rep",
     "report_pivot": "pivot (select cast(ts as date) as day, event_type, value from events) on event_type using round(avg(value), 6) group by day",
+    "smoothed_losses": """with recursive e as (select event_type as run, cast(ts as date) - date '2024-01-01' as epoch, avg(value) as loss from events group by all), o as (select *, row_number() over (partition by run order by epoch) as k from e),
+        s as (select run, k, epoch, loss as ema, loss as best, 0 as stale, false as stopped, false as halt from o where k = 1
+          union all select o.run, o.k, o.epoch, 0.8::double * ema + 0.2::double * loss, least(best, case when 0.8::double * ema + 0.2::double * loss < best - 0.0001::double then 0.8::double * ema + 0.2::double * loss else best end),
+            case when 0.8::double * ema + 0.2::double * loss < best - 0.0001::double then 0 else stale + 1 end, halt, halt or case when 0.8::double * ema + 0.2::double * loss < best - 0.0001::double then 0 else stale + 1 end >= 3
+          from s join o on o.run = s.run and o.k = s.k + 1) select run, epoch, round(ema, 6) as ema, stopped from s""",
+    "synonyms_replaced": f"""with {DOCS}, w as (select distinct str_split(lower(record.label), ' ')[2] as last, str_split(lower(record.label), ' ')[1] as first from kb_search where record.label is not null and len(str_split(record.label, ' ')) > 1),
+        y as (select a.first as word, list_sort(list(distinct b.first)) as syn from w a join w b on a.last = b.last and a.first <> b.first and b.first not like '%\_%' escape '\' group by 1),
+        t as (select id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as token from (select id, list_transform(regexp_extract_all(title, '[A-Za-z]+'), lambda z: lower(z)) as x from docs)),
+        h as (select *, cast('0x' || substr(md5('1|' || id || '|' || pos), 1, 15) as bigint) / 1152921504606846976.0::double as u, cast('0x' || substr(md5('2|' || id || '|' || pos), 1, 15) as bigint) as h from t)
+        select id, pos, case when u < 0.5 and token not in ('the', 'and') and len(syn) > 0 then syn[h % len(syn) + 1] else token end as token from h left join y on y.word = token""",
     "comment_flags": f"""with am as ({_MENTIONS}), {_CLEAN}, {_LAST}, l as (select am.*, case when coalesce(record.qid, '') <> '' and not {_NM} then record end as rec from am join clean using (mention_id) left join lw on key = lower(clean)),
         k as (select l.*, claims['P31'] as c from l left join kb_claims on kb_claims.qid = rec.qid),
         r as (select *, case when rec is null then '''' || text || ''': no Wikidata match found' when not {_FITS} and {_CLASH} then '''' || text || ''' (NER: ' || label || ') -> linked to ''' || coalesce(rec.label, rec.qid) || ''' [' || coalesce(rec.description, '(no description)') || '], which does not look like a ' || label end as reason from k),
