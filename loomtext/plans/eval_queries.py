@@ -229,7 +229,7 @@ ORACLE = {
             case when 0.8::double * ema + 0.2::double * loss < best - 0.0001::double then 0 else stale + 1 end, halt, halt or case when 0.8::double * ema + 0.2::double * loss < best - 0.0001::double then 0 else stale + 1 end >= 3
           from s join o on o.run = s.run and o.k = s.k + 1) select run, epoch, round(ema, 6) as ema, stopped from s""",
     "synonyms_replaced": f"""with {DOCS}, w as (select distinct str_split(lower(record.label), ' ')[2] as last, str_split(lower(record.label), ' ')[1] as first from kb_search where record.label is not null and len(str_split(record.label, ' ')) > 1),
-        y as (select a.first as word, list_sort(list(distinct b.first)) as syn from w a join w b on a.last = b.last and a.first <> b.first and b.first not like '%\_%' escape '\' group by 1),
+        y as (select a.first as word, list_sort(list(distinct b.first)) as syn from w a join w b on a.last = b.last and a.first <> b.first and instr(b.first, '_') = 0 group by 1),
         t as (select id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as token from (select id, list_transform(regexp_extract_all(title, '[A-Za-z]+'), lambda z: lower(z)) as x from docs)),
         h as (select *, cast('0x' || substr(md5('1|' || id || '|' || pos), 1, 15) as bigint) / 1152921504606846976.0::double as u, cast('0x' || substr(md5('2|' || id || '|' || pos), 1, 15) as bigint) as h from t)
         select id, pos, case when u < 0.5 and token not in ('the', 'and') and len(syn) > 0 then syn[h % len(syn) + 1] else token end as token from h left join y on y.word = token""",
