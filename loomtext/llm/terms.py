@@ -3,8 +3,8 @@
 An external sort of (term, record) pairs. Terms are counted inside each
 record before anything moves; pairs are range-partitioned by term and, inside
 a term, by a hash of the record, so a term that is in every record is spread
-over as many ranges as it fills. Range bounds come from a sample of records
-and only balance the load. Sorted ranges are scanned run by run, and the runs
+over as many ranges as it fills. Range bounds come from a sample of records,
+bounded in rows, and only balance the load. Sorted ranges are scanned run by run, and the runs
 of a term that a bound cuts are added up.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 
 TERM = re.compile("[a-z]+")
-SAMPLE_RECORDS = 1000
+SAMPLE_RECORDS, SAMPLE_TERMS = 1000, 200
 
 
 def _slot(record: int) -> int:
@@ -31,11 +31,21 @@ def _slot(record: int) -> int:
     return (record * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most SAMPLE_TERMS evenly spaced terms of each record."""
+    for b in batches:
+        rows = []
+        for record, text in zip(b.column("record").to_pylist(), b.column("text").to_pylist()):
+            found = sorted(set(TERM.findall(text.lower()))) if text else []
+            rows += [(t, _slot(record)) for t in found[:: -(-len(found) // SAMPLE_TERMS) or 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "slot"])
+
+
 def bounds_of(records: DataFrame, parts: int, sample_records: int = SAMPLE_RECORDS) -> list[tuple[str, int]]:
-    """Upper bounds of the first parts - 1 ranges, quantiles of the pairs of about sample_records records."""
+    """Upper bounds of the first parts - 1 ranges, quantiles of pairs of about sample_records records."""
     total = records.count()
     sample = records if total <= sample_records else records.sample(sample_records / total, seed=5)
-    pairs = sorted((t, _slot(r["record"])) for r in sample.limit(2 * sample_records).collect() for t in set(TERM.findall((r["text"] or "").lower())))
+    pairs = sorted(map(tuple, sample.limit(2 * sample_records).mapInArrow(_sampled, "term string, slot bigint").collect()))
     return sorted({pairs[len(pairs) * i // parts] for i in range(1, parts)}) if pairs else []
 
 
