@@ -81,10 +81,7 @@ def shingles(words: Column, k: int = 5) -> Column:
 def clean_mention(text: Column) -> Column:
     """Junk cut at both ends, then one leading filler dropped, the first of the list that fits."""
     cut = F.btrim(F.trim(whole(text)), F.lit(JUNK))
-    out = cut
-    for filler in reversed(FILLERS):
-        out = F.when(F.lower(cut).startswith(filler), F.substring(cut, len(filler) + 1, MAX_CHARS)).otherwise(out)
-    return out
+    return F.regexp_replace(cut, "(?i)^(?:" + "|".join(f.replace(".", r"\.") for f in FILLERS) + ")", "")
 
 
 def is_noise(mention: Column) -> Column:
