@@ -32,7 +32,7 @@ def classes_of(signed: DataFrame) -> DataFrame:
     """(id, rep): rep is the least id with the same words. Aggregated first, so a text that fills a third of all rows is no hot key when joined back."""
     reps = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     many = signed.select("id", "digest").join(reps.where("n > 1").select("digest", "rep"), "digest", "left")
-    return many.select("id", F.coalesce("rep", "id").alias("rep"))
+    return many.select("id", F.coalesce("rep", "id").alias("rep")).distinct()
 
 
 def jaccard_links(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, k: int, threshold: float, radius: int | None = None, symbols: int = 0, seed: int = 0) -> DataFrame:
@@ -53,7 +53,7 @@ def jaccard_links(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str
         both = both.where(away <= radius)
     shared = F.size(F.array_intersect("sh_a", "sh_b"))
     both = both.select("a", "b", shared.alias("s"), (F.size("sh_a") + F.size("sh_b") - shared).alias("u"))
-    return both.where(F.col("s") >= F.col("u") * threshold).select("a", "b", (F.col("s") / F.col("u")).alias("similarity"))
+    return both.where((F.col("s") > 0) & (F.col("s") >= F.col("u") * threshold)).select("a", "b", (F.col("s") / F.col("u")).alias("similarity"))
 
 
 def _bucket_pairs(members: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
@@ -94,20 +94,21 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, k: int =
     over `dense`, those that were needed to join the group). Similarity is shared
     distinct runs of k words over all distinct runs of either text.
 
-    id_col must be unique and not null. Null, empty and short texts (fewer
-    than min_words words) are in no group and give no row. Equal rows fall in
-    one class. Other columns are ignored, whatever their names. An empty
+    Null, empty and short texts (fewer than min_words words) are in no group and
+    give no row, nor does a null id. Equal texts fall in one class; a row that
+    is repeated with its id counts once, and an id with several texts is in the
+    group of each of them. Other columns are ignored, whatever their names. An empty
     table gives an empty result. Thresholds under 0.5 would need more chunks.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     sign = S.signer("id", "text", k, min_words, SYMBOLS, S.neighbour_blocks(SYMBOLS, CHUNK), SEED)
     signed = scratch.keep(scratch.spread(docs).mapInArrow(sign, "id bigint, digest binary, keys array<bigint>"), "signed")
     classes = scratch.keep(classes_of(signed), "classes")
-    once = signed.groupBy("digest").agg(F.min("id").alias("id")).select("id")
-    members = signed.select("id", "keys").join(once, "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    once = signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    members = once.select("id", F.explode("keys").alias("key"))
     pairs, stars = _bucket_pairs(members, dense)
     stars = scratch.keep(stars, "stars")
-    first = scratch.keep(pairs.union(stars.select("a", "b")).distinct(), "pairs")
+    first = scratch.keep(pairs.union(stars.select("a", "b")).where("a <> b").distinct(), "pairs")
     links = scratch.keep(jaccard_links(first, docs, "id", "text", k, threshold), "links")
     comps = connected_components(links)
     if not stars.isEmpty():

@@ -38,10 +38,10 @@ def class_links(docs: DataFrame, k: int, threshold: float, min_words: int) -> tu
     """(classes, links): classes (id, rep, train, split, outlet); links (a, b) across the splits, a = b where a class lies on both sides."""
     sign = S.signer("id", "text", k, min_words, SYMBOLS, S.permuted_blocks(SYMBOLS, SEGMENT, ROUNDS, SEED), SEED, ("train", "split", "outlet"))
     signed = scratch.keep(scratch.spread(docs.select("id", "text", "train", "split", "outlet")).mapInArrow(sign, "id bigint, train boolean, split string, outlet string, digest binary, keys array<bigint>"), "coded")
-    sides = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.max(F.col("train")).alias("has_train"), F.max(~F.col("train")).alias("has_eval"))
-    classes = scratch.keep(signed.select("id", "train", "split", "outlet", "digest").join(sides.select("digest", "rep"), "digest").drop("digest"), "classes")
-    reps = signed.select(F.col("id").alias("rep"), "keys").join(sides.drop("digest"), "rep")
-    blocks = reps.select("rep", "has_train", "has_eval", F.explode("keys").alias("key"))
+    sides = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.max(F.col("train")).alias("has_train"), F.max(~F.col("train")).alias("has_eval"), F.first("keys").alias("keys"))
+    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"))
+    classes = scratch.keep(signed.select("id", "train", "split", "outlet", "digest").join(reps, "digest").drop("digest"), "classes")
+    blocks = sides.select("rep", "has_train", "has_eval", F.explode("keys").alias("key"))
     met = blocks.groupBy("key").agg(F.max("has_train").alias("t"), F.max("has_eval").alias("e"), F.count("*").alias("n")).where("t and e and n > 1").select("key")
     blocks = blocks.join(met, "key")
     left = blocks.where("has_train").select("key", F.col("rep").alias("x"))
@@ -56,7 +56,7 @@ def class_links(docs: DataFrame, k: int, threshold: float, min_words: int) -> tu
 def prepared(articles: DataFrame) -> DataFrame:
     """Rows with the columns the overlap needs; rows of neither side are dropped."""
     a = articles.select(F.col("article_no").cast("bigint").alias("id"), "text", "title", F.col("id").alias("own_id"), "dataset", "split", F.lower(F.trim("outlet")).alias("outlet"))
-    return a.where(F.col("split").isin("train", "val", "test", "heldout")).withColumn("train", F.col("split") == "train")
+    return a.where(F.col("split").isin("train", "val", "test", "heldout") & F.col("id").isNotNull()).withColumn("train", F.col("split") == "train")
 
 
 def titles(a: DataFrame, min_words: int, title_words: int) -> DataFrame:
@@ -74,7 +74,7 @@ def overlaps(articles: DataFrame, k: int = 5, threshold: float = 0.8, min_words:
     (a text of fewer words, and titles of the same title_words words or more
     in the same order); a pair comes once per reason. Null and empty texts
     have no words, null or blank ids and titles match nothing, rows of other
-    splits are ignored. Equal rows each count. An empty table gives no pair.
+    splits and rows without article_no are ignored. Repeated rows each count. An empty table gives no pair.
     """
     a = prepared(articles)
     classes, links = class_links(a, k, threshold, min_words)

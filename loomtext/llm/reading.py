@@ -216,7 +216,7 @@ def _labelled(table: DataFrame, labels: DataFrame, max_labelled: int):
     rows = table.join(mean, "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_labelled).select("doc_id", "source", "features", "level").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     if not len(rows):
-        raise ValueError("no labelled document to learn from")
+        return None
     return np.stack(rows["features"].to_numpy()), rows["level"].to_numpy(float), rows["source"].fillna("").to_numpy(str)
 
 
@@ -244,19 +244,26 @@ def reading_levels(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     Documents in other languages, with a null language or length, or shorter
     give no row; a null text counts as one without words. Several labels of a
     document are averaged; labels that are null, outside 1 to 4 or of documents
-    that are not eligible are ignored, and with none left ValueError is raised.
-    Rows of one id are graded each. Other columns are ignored. An empty table
-    of documents raises the same error, as nothing can be learned.
+    that are not eligible are ignored, and with none left scores and levels are
+    null. Rows of one id are graded each. Other columns are ignored. An empty
+    table of documents gives an empty result.
     """
     table = feature_table(docs)
-    x, y, source = _labelled(table, labels, max_labelled)
+    known = _labelled(table, labels, max_labelled)
+    if known is None:
+        return table.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("reading_level"))
+    x, y, source = known
     cuts = cut_points(cross_validated(x, y, source), y)
     return table.mapInArrow(_grader(BoostedTrees().fit(x, y), cuts), "doc_id bigint, score double, reading_level int")
 
 
 def validation(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(source, n, share_right, share_within_1, mean_error) of held-out grades against the raters' levels, by source."""
-    x, y, source = _labelled(feature_table(docs), labels, max_labelled)
+    """(source, n, share_right, share_within_1, mean_error) of held-out grades against the raters' levels, by source; no rows without labels."""
+    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("share_right", "share_within_1", "mean_error"))])
+    known = _labelled(feature_table(docs), labels, max_labelled)
+    if known is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    x, y, source = known
     score = cross_validated(x, y, source)
     grade = 1 + np.searchsorted(cut_points(score, y), score, "right")
     rows = []
@@ -264,5 +271,4 @@ def validation(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
         own = source == s
         off = grade[own] - y[own]
         rows.append((str(s), int(own.sum()), float((np.abs(off) <= 0.5).mean()), float((np.abs(off) <= 1).mean()), float(off.mean())))
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("share_right", "share_within_1", "mean_error"))])
     return docs.sparkSession.createDataFrame(rows, schema)

@@ -186,7 +186,6 @@ def test_reading_levels(spark):
     got = {r["doc_id"]: r["reading_level"] for r in reading.reading_levels(docs, labels).collect()}
     assert {i: got[i] for i in range(80)} == {i: 1 if i % 2 else 4 for i in range(80)} and set(got) == {*range(80), 102}
     assert reading.validation(docs, labels).agg(F.sum("n")).first()[0] == 40
-    with pytest.raises(ValueError):
-        reading.reading_levels(docs, labels.where("false"))
-    with pytest.raises(ValueError):
-        reading.reading_levels(docs.where("false"), labels)
+    none = reading.reading_levels(docs, labels.where("false"))
+    assert none.count() == 81 and none.where("reading_level is not null").count() == 0 and reading.validation(docs, labels.where("false")).count() == 0
+    assert reading.reading_levels(docs.where("false"), labels).count() == 0
