@@ -125,7 +125,7 @@ def summaries(rows: DataFrame, capacity: int) -> DataFrame:
     out = rows.mapInArrow(_summarise(capacity), _SCHEMA)
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
-        up = out.withColumn("up", F.floor(F.col("node") / FAN_IN).cast("int"))
+        up = out.withColumn("up", (F.floor(F.col("node") / FAN_IN) if nodes > 1 else F.lit(0)).cast("int"))
         out = up.repartition(nodes, "up").sortWithinPartitions("up", "field", "node").mapInArrow(_combine(capacity), _SCHEMA)
     return out.drop("node")
 
