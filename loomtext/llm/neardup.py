@@ -59,7 +59,7 @@ def jaccard_links(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str
 def _bucket_pairs(members: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of the buckets of at most `dense` members, and the stars of larger ones."""
     counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    shared = members.join(counts, "key")
+    shared = scratch.keep(members.join(counts, "key"), "shared")
     small = shared.where(F.col("n") <= dense).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     each = small.select("ids", F.posexplode("ids").alias("at", "a"))
     pairs = each.select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
@@ -107,7 +107,6 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, k: int =
     once = signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
     members = once.select("id", F.explode("keys").alias("key"))
     pairs, stars = _bucket_pairs(members, dense)
-    stars = scratch.keep(stars, "stars")
     first = scratch.keep(pairs.union(stars.select("a", "b")).where("a <> b").distinct(), "pairs")
     links = scratch.keep(jaccard_links(first, docs, "id", "text", k, threshold), "links")
     comps = connected_components(links)
