@@ -13,11 +13,15 @@ Rows whose words are the same are one class and are signed once. A key shared
 by more than `dense` classes is not expanded into pairs: all its members are
 verified against the least one, and members that are then still in another
 component are compared with the rest of the bucket, which leaves the groups
-exact.
+exact. The links among members of such buckets are counted afterwards: both ends
+of a link lie in one component, so all pairs of a component's members are
+compared, in blocks of bounded size, and only the counts leave a block.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from ..operators.components import connected_components
 from . import shingles as S
 
 SYMBOLS, CHUNK, SEED = 48, 4, 11
+#: Members and shingles of a block of counted links, columns and expanded pairs held at once.
+BLOCK_ROWS, BLOCK_SHINGLES, BLOCK_COLUMNS, BLOCK_PAIRS = 2048, 1 << 21, 2048, 1 << 21
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
@@ -85,14 +91,93 @@ def _across(stars: DataFrame, comps: DataFrame, done: DataFrame, docs: DataFrame
     return jaccard_links(scratch.keep(rest.join(done, ["a", "b"], "left_anti"), "rest"), docs, "id", "text", k, threshold)
 
 
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of shared values of each set of `a` and each of `b`.
+
+    Values that many sets have are columns of a matrix product, the others are
+    expanded to the pairs of sets that have them.
+    """
+    va, vb = np.concatenate(a), np.concatenate(b)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    both = np.intersect1d(va, vb)
+    total = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return total.astype(np.int64)
+
+    def placed(v: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, v), len(both) - 1)
+        ok = both[at] == v
+        order = np.argsort(at[ok], kind="stable")
+        c, r = at[ok][order], r[ok][order]
+        return c, r, np.searchsorted(c, np.arange(len(both) + 1))
+
+    (ca, ra, sa), (cb, rb, sb) = placed(va, ra), placed(vb, rb)
+    work = np.diff(sa) * np.diff(sb)
+    wide = work * 64 > len(a) * len(b)
+    number = np.cumsum(wide) - 1
+    for lo in range(0, int(wide.sum()), BLOCK_COLUMNS):
+        mats = []
+        for c, r, n in ((ca, ra, len(a)), (cb, rb, len(b))):
+            pick = wide[c] & (number[c] >= lo) & (number[c] < lo + BLOCK_COLUMNS)
+            m = np.zeros((n, min(BLOCK_COLUMNS, int(wide.sum()) - lo)), np.float32)
+            m[r[pick], number[c[pick]] - lo] = 1
+            mats.append(m)
+        total += mats[0] @ mats[1].T
+    total = total.astype(np.int64).ravel()
+    keep = ~wide[ca]
+    left, start, n = ra[keep], sb[ca[keep]], (sb[1:] - sb[:-1])[ca[keep]]
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_PAIRS, "right")))
+        part = n[lo:hi]
+        at = np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part) + np.repeat(start[lo:hi], part)
+        total += np.bincount(np.repeat(left[lo:hi], part) * len(b) + rb[at], minlength=len(total))
+        lo = hi
+    return total.reshape(len(a), len(b))
+
+
+def _block_counts(threshold: float):
+    """applyInArrow function from the members of two blocks of a component to (id, n): links between the blocks, or within the one."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, of, sets = t["id"].to_numpy(), t["block"].to_numpy(), [x.values.to_numpy().view(np.uint64) for x in t["sh"]]
+        x, y = t["x"][0].as_py(), t["y"][0].as_py()
+        one, two = np.flatnonzero(of == x), np.flatnonzero(of == y)
+        if not len(one) or not len(two):
+            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        shared = _shared([sets[i] for i in one], [sets[i] for i in two])
+        sizes = np.array([len(s) for s in sets])
+        either = sizes[one][:, None] + sizes[two][None, :] - shared
+        linked = (shared > 0) & (shared >= either * threshold) & (ids[one][:, None] != ids[two][None, :])
+        n, m = linked.sum(axis=1), linked.sum(axis=0)
+        if x == y:
+            return pa.table({"id": ids[one], "n": n.astype(np.int64)})
+        return pa.table({"id": np.concatenate([ids[one], ids[two]]), "n": np.concatenate([n, m]).astype(np.int64)})
+
+    return run
+
+
+def _hot_counts(hot: DataFrame, comps: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(rep, n_links): links among the classes of `hot` (id), all pairs of one component compared in blocks."""
+    chosen = docs.join(hot, "id", "left_semi")
+    sets = chosen.mapInArrow(S.shingler("id", "text", k), "id bigint, sh array<bigint>").join(comps.withColumnRenamed("node", "id"), "id")
+    sets = scratch.keep(sets.withColumn("salt", F.xxhash64("id", "sh")).dropDuplicates(["id", "salt"]), "hot")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("sh")) / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    placed = sets.join(sets.groupBy("component").agg(blocks), "component").withColumn("block", F.pmod("salt", "blocks").cast("int")).drop("salt")
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = other.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "sh")
+    counts = pairs.groupBy("component", "x", "y").applyInArrow(_block_counts(threshold), "id bigint, n bigint")
+    return counts.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n_links"))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 5, dense: int = 32) -> DataFrame:
     """One row per document with enough words: (id, rep, group_no, n_links).
 
     rep is the least id with the same words, group_no the least id of all
     documents that hang together by links of at least `threshold`, n_links the
-    number of verified links of the row's class to other classes (in buckets
-    over `dense`, those that were needed to join the group). Similarity is shared
-    distinct runs of k words over all distinct runs of either text.
+    number of verified links of the row's class to other classes. Similarity is
+    shared distinct runs of k words over all distinct runs of either text.
 
     Null, empty and short texts (fewer than min_words words) are in no group and
     give no row, nor does a null id. Equal texts fall in one class; a row that
@@ -110,10 +195,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, k: int =
     first = scratch.keep(pairs.union(stars.select("a", "b")).where("a <> b").distinct(), "pairs")
     links = scratch.keep(jaccard_links(first, docs, "id", "text", k, threshold), "links")
     comps = connected_components(links)
-    if not stars.isEmpty():
+    counted = links
+    hot = not stars.isEmpty()
+    if hot:
         links = scratch.keep(links.union(_across(stars, scratch.keep(comps, "comps"), first, docs, k, threshold)), "links")
-        comps = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        comps = scratch.keep(connected_components(links), "comps")
+        busy = scratch.keep(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "busy")
+        ends = links.join(busy.select(F.col("id").alias("a"), F.lit(True).alias("hot_a")), "a", "left").join(busy.select(F.col("id").alias("b"), F.lit(True).alias("hot_b")), "b", "left")
+        counted = ends.where("hot_a is null or hot_b is null")
+    degree = counted.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    if hot:
+        degree = degree.union(_hot_counts(busy, comps, docs, k, threshold)).groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     of_rep = comps.withColumnRenamed("node", "rep").join(degree, "rep", "left")
     out = classes.join(of_rep, "rep", "left")
     return out.select("id", "rep", F.coalesce("component", "rep").alias("group_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -89,6 +89,35 @@ def test_hot_bucket_keeps_groups_exact(spark):
     assert {r["id"]: r["group_no"] for r in got.collect()} == brute_groups(rows, 0.6, 5)
 
 
+def brute_links(rows, threshold, min_words, k=5):
+    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for i, t in rows if len(w := S.WORD.findall(t.lower())) >= min_words}
+    n = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+            n[a] += 1
+            n[b] += 1
+    return n
+
+
+@pytest.mark.parametrize("block_rows", [2048, 40])
+def test_hot_bucket_counts_all_links(spark, monkeypatch, block_rows):
+    """Every link of near-copies whose keys are all hot is counted, in one block and across blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block_rows, raising=False)
+    base = words(120, 5)
+    rows = [" ".join(edited(base, 1 + i % 3, i)) for i in range(150)] + [" ".join(edited(base, 9, 1000 + i)) for i in range(20)] + [" ".join(words(120, 100 + i)) for i in range(100)]
+    rows = list(enumerate(rows, 1))
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", threshold=0.8, dense=8)
+    assert {r["id"]: r["n_links"] for r in got.collect()} == brute_links(rows, 0.8, 5)
+
+
+def test_shared_counts():
+    """The product of common columns and the expanded rare ones add up to the plain intersections."""
+    rng = np.random.default_rng(3)
+    common, rare = rng.integers(0, 2**63, 60, np.uint64), rng.integers(0, 2**63, 3000, np.uint64)
+    a, b = ([np.unique(np.concatenate([rng.choice(common, 40), rng.choice(rare, 30)])) for _ in range(n)] for n in (90, 70))
+    assert (neardup._shared(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_hot_exact_copies(spark):
     t = " ".join(words(80, 6))
     df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, F.lit(t)).otherwise(F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(10)])).alias("text"))
