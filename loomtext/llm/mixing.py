@@ -24,6 +24,8 @@ from .. import scratch
 from . import tokens as K
 
 BINS, SEED, LOOK_AHEAD = 4096, 29, 256
+#: As total_tokens: all tokens of the sources among the targets.
+CORPUS = "corpus"
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str) -> DataFrame:
@@ -36,11 +38,13 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabula
     return scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
 
 
-def plan(items: DataFrame, targets: DataFrame, total_tokens: int | None) -> DataFrame:
-    """(source, target_share, max_repeats, tokens, budget, epochs, rest, edge, until, before): per source the epochs, the bin in which the fractional epoch ends with the tokens before it, and the last bin of the look-ahead.
+def plan(items: DataFrame, targets: DataFrame, total_tokens: int | str | None) -> DataFrame:
+    """(source, target_share, max_repeats, tokens, wanted, budget, epochs, rest, edge, until, before): per source the epochs, the bin in which the fractional epoch ends with the tokens before it, and the last bin of the look-ahead.
 
     Without total_tokens the total is the largest that every source with
-    documents can fill at its share within its repeats.
+    documents can fill at its share within its repeats; with CORPUS it is the
+    tokens of all target sources. A source whose repeats end below its share of
+    the total (`wanted`) stops there.
     """
     t = targets.select(F.lower(F.trim("source_name")).alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0")
     bins = items.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
@@ -48,7 +52,10 @@ def plan(items: DataFrame, targets: DataFrame, total_tokens: int | None) -> Data
     if total_tokens is None:
         most = per.where("tokens > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0]
         total_tokens = int(most or 0)
-    per = per.withColumn("budget", F.least(F.col("target_share") * F.lit(float(total_tokens)), F.col("tokens") * F.col("max_repeats").cast("double")))
+    elif total_tokens == CORPUS:
+        total_tokens = int(per.agg(F.sum("tokens")).first()[0] or 0)
+    per = per.withColumn("wanted", F.col("target_share") * F.lit(float(total_tokens)))
+    per = per.withColumn("budget", F.least(F.col("wanted"), F.col("tokens") * F.col("max_repeats").cast("double")))
     per = per.withColumn("epochs", F.least(F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))), F.col("max_repeats").cast("bigint")))
     per = per.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(0.0))
     w = Window.partitionBy("source").orderBy("bin")
@@ -72,7 +79,7 @@ def _greedy(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": t["doc_id"], "source": t["source"], "tokens": t["tokens"], "uses": pa.array(t["epochs"].to_numpy() + more)})
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = K.VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = K.VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(uses, plan): uses has (doc_id, source, tokens, uses) of every document.
 
     Documents whose source is null or not among the targets have 0 uses.
@@ -93,8 +100,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, id
 
 
 def share_report(uses: DataFrame, per: DataFrame) -> DataFrame:
-    """(source, target_share, actual_share, max_repeats, most_uses, n_used, tokens_used, tokens_there) of every target source."""
+    """(source, target_share, actual_share, max_repeats, most_uses, n_used, tokens_used, tokens_there, tokens_short) of every target source; tokens_short is what its repeats leave of its share of the total."""
     got = uses.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"), F.count(F.when(F.col("uses") > 0, 1)).alias("n_used"))
     out = per.join(got, "source", "left").withColumn("tokens_used", F.coalesce("tokens_used", F.lit(0)))
     whole = F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))  # one row per target source
-    return out.select("source", "target_share", (F.col("tokens_used") / F.greatest(whole, F.lit(1))).alias("actual_share"), "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce("n_used", F.lit(0)).alias("n_used"), "tokens_used", F.col("tokens").alias("tokens_there"))
+    return out.select("source", "target_share", (F.col("tokens_used") / F.greatest(whole, F.lit(1))).alias("actual_share"), "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.coalesce("n_used", F.lit(0)).alias("n_used"), "tokens_used", F.col("tokens").alias("tokens_there"), F.greatest(F.col("wanted") - F.col("budget"), F.lit(0.0)).alias("tokens_short"))

@@ -74,11 +74,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_uses(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[0]
+    return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"), mixing.CORPUS)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.share_report(*mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets")))
+    return mixing.share_report(*mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"), mixing.CORPUS))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomtext.llm import mixing, names, packing, reading
+from loomtext.llm import mixing, names, packing, reading, registry
 from loomtext.llm import tokens as K
 
 KNOWN = [("Q1", "Margaret Henjimsit"), ("Q2", "Thomas Henjimsit"), ("Q3", "Reldothar Research Institute"), ("Q4", "New Sitreltil"), ("Q5", "Theodore Gulsostam"), ("Q6", "Borfur Brothers and Partners"), ("Q7", "Wusdot Savings Bank Limited"), ("Q8", "Zalkor Research Institute"), ("Q9", "Dintil National Laboratory"), ("Q10", "Harnol Research Institute"), ("Q11", "Kirvat Research Laboratory")]
@@ -120,6 +120,19 @@ def test_mixing_shares(spark):
     assert low[1] - low[0] <= 1
 
 
+def test_registered_mix_draws_the_corpus(spark, tmp_path):
+    """A tiny source stops at its repeats and shows its shortfall; it does not decide how much of the others is drawn."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 5, "tiny").when(F.col("id") < 300, "small").otherwise("big").alias("source"), F.repeat(F.lit("word "), 20).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.4, 1), ("small", 0.5, 2), ("tiny", 0.1, 1)], TARGETS).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r["source"]: r for r in registry.p9_shares(spark, str(tmp_path)).collect()}
+    each = got["tiny"]["tokens_there"] / 5
+    assert (got["tiny"]["n_used"], got["tiny"]["most_uses"], got["small"]["n_used"], got["small"]["most_uses"], got["big"]["n_used"]) == (5, 1, 295, 2, 400)
+    assert got["tiny"]["tokens_short"] == pytest.approx(95 * each) and got["big"]["tokens_short"] == got["small"]["tokens_short"] == 0
+    uses = registry.p9_uses(spark, str(tmp_path))
+    assert uses.agg(F.sum("uses")).first()[0] == 905 and uses.where("source = 'small'").agg(F.min("uses")).first()[0] == 1
+
+
 def test_mixing_budget_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a", "one two"), (1, "a", "one two"), (2, "a", None), (3, "a", ""), (4, None, "x"), (None, "a", "null id")], "doc_id bigint, source string, text string")
     uses, per = mixing.mix(docs, spark.createDataFrame([("A ", 1.0, 3)], TARGETS), total_tokens=10**9)
