@@ -130,7 +130,7 @@ def ablation_masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashing_logreg(spark: SparkSession, d: str) -> DataFrame:
-    return classify.train_and_score(docs(spark, d), 1 << 16, 50)
+    return classify.train_and_score(docs(spark, d))
 
 
 def hashing_logreg_report(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from loomtext.functions.hashing import hash60
 from loomtext.operators import augment, classify, comments, corpus, dedup, kb, kg, metrics, sketches, textrank, tfidf
 from loomtext.operators.components import connected_components
 from loomtext.operators.ordinals import with_ordinal
+from loomtext.plans import eval_queries
 
 
 def one(spark, column):
@@ -247,3 +248,11 @@ def test_hash_is_stable(spark):
 def test_masks(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
     assert df.select(classify.masked("v", "text_only", ("both",)).alias("x")).first()[0] == [0.0, 0.0]
+
+
+def test_query_trains_the_whole_classifier(spark, data, monkeypatch):
+    """hashing_logreg asks for the operator's own number of columns and iterations."""
+    asked, real = [], classify.pipeline
+    monkeypatch.setattr(classify, "pipeline", lambda *a: asked.append(a) or real(64, 1))
+    assert eval_queries.hashing_logreg(spark, data).columns == ["id", "split", "label", "score"]
+    assert asked == [(1 << 18, 200)]
