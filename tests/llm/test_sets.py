@@ -130,3 +130,26 @@ def test_hot_terms_over_many_ranges(spark):
     got = terms.term_table(df, "k", "t")
     assert got.where("term = 'hot'").first()["n_occurrences"] == 12_000 and got.where("term = 'hot'").first()["n_records"] == 6000
     assert got.where("term <> 'hot'").agg(F.sum("n_records")).first()[0] == 6000
+
+
+@pytest.mark.parametrize("parts", [8, 64, 400])
+def test_ranges_are_even(spark, parts):
+    """No range is far longer than the mean, whatever their number: neither hot terms nor the rows that count records gather in one."""
+    word = lambda i: F.translate(F.abs(F.hash("id", F.lit(i)) % F.pow(F.lit(10), F.lit(1 + i % 5)).cast("int")).cast("string"), "0123456789", "abcdefghij")
+    df = spark.range(12_000).select(F.col("id").alias("record"), F.concat_ws(" ", F.lit("the of and"), *[word(i) for i in range(60)]).alias("text")).repartition(6)
+    bounds = terms.bounds_of(df, parts)
+    sizes = [r["count"] for r in terms.ranged(df, bounds).groupBy("part").count().collect()]
+    assert len(sizes) == parts and max(sizes) < 1.3 * sum(sizes) / parts
+
+
+def test_ranges_change_no_row(spark, data):
+    docs = spark.read.parquet(f"{data}/articles.parquet")
+    one, many = (terms.term_table(docs, "article_no", "text", ranges=n) for n in (1, 50))
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_bounds_open_few_partitions(spark):
+    """The sample takes the first rows of chosen partitions, at most about SAMPLE_RECORDS in all."""
+    df = spark.range(100_000).select(F.col("id").alias("record"), F.lit("a b").alias("text")).repartition(100)
+    sample = terms._sample(df, 1000)
+    assert 900 <= len(sample) <= 1100
