@@ -1,11 +1,13 @@
 """Attribute-value rows into wide tables by positional stitching.
 
-1. The readable value of every (entity, property) with the highest row number
-   wins; this is one aggregation with map-side combining, so an entity or a
-   property that holds a third of all rows is reduced before it is shuffled.
-2. Entities get dense global ordinals: winners are range-partitioned and
-   sorted by entity, numbered within their partition and written; the offset
-   of a partition is the prefix sum of the partitions before it.
+1. Values are read in the JVM. Of the rows of one (entity, property) in an
+   Arrow batch only the readable one of the highest row number goes on, so an
+   entity or a property that holds a third of all rows is reduced before it is
+   shuffled.
+2. Entities get dense global ordinals: one shuffle by entity, sorted inside
+   the task, where the winner of each cell is the first row; entities are
+   numbered within their partition and written; the offset of a partition is
+   the prefix sum of the partitions before it.
 3. Ordinals are cut into ranges. All cells of a range meet in one task, where
    each property is laid out as one typed vector aligned to the range, with
    nulls at the positions of entities that lack it.
@@ -49,64 +51,121 @@ def normal_property(c: Column) -> Column:
     return F.when(out != "", out)
 
 
+#: Names of the months, written out, as `sept` or as their first three letters or more.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_ISO = r"\+?(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:t\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:z|[+-]\d{2}:?\d{2})?)?"
+_DOTTED = r"(\d{1,2})\. ?(\d{1,2})\. ?(\d{4})"
+_DAY_FIRST = r"(\d{1,2})(?:st|nd|rd|th)?\.? ([a-z]{3,9})\.?,? (\d{4})"
+_MONTH_FIRST = r"([a-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})"
+
+
+def collapsed(c: Column) -> Column:
+    """Runs of blanks as one, ends cut."""
+    return F.regexp_replace(_trim(c), f"{BLANK}+", " ")
+
+
+def date_parts(text: Column) -> Column:
+    """[mark, year, month, day] as written in a collapsed text; another array where it is no date.
+
+    One pass of one pattern, in which the groups of the forms that do not match
+    are empty. The mark is a line break, which no collapsed text has.
+    """
+    whole = f"^(?:{_ISO}|{_DOTTED}|{_DAY_FIRST}|{_MONTH_FIRST})$"
+    return F.split(F.regexp_replace(F.lower(text), whole, "\n-$1$6$9$12-$2$5$8$10-$3$4$7$11"), "-")
+
+
+def date_of(parts: Column) -> Column:
+    """yyyy-mm-dd of date parts, null where there is no such day."""
+    numbers = {f"{i:0{w}}": i for i in range(1, 13) for w in (1, 2)}
+    names = {m[:k]: i for i, m in enumerate(MONTHS, 1) for k in range(3, len(m) + 1)}
+    months = F.create_map(*[F.lit(x) for name, i in (numbers | names).items() for x in (name, f"{i:02}")])
+    dash = F.lit("-")
+    made = F.concat(F.get(parts, 1), dash, F.try_element_at(months, F.get(parts, 2)), dash, F.lpad(F.get(parts, 3), 2, "0"))
+    return F.when((F.size(parts) == 4) & (F.get(parts, 0) == "\n"), made.try_cast("date").cast("string"))
+
+
 def read_date(c: Column) -> Column:
     """yyyy-mm-dd where day, month and year are all given and exist; dotted dates are day first."""
-    t = F.lower(F.regexp_replace(_trim(c), f"{BLANK}+", " "))
-    iso = r"^\+?(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:t\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:z|[+-]\d{2}:?\d{2})?)?$"
-    dotted = r"^(\d{1,2})\. ?(\d{1,2})\. ?(\d{4})$"
-    day_first = r"^(\d{1,2})(?:st|nd|rd|th)?\.? ([a-z]{3,9})\.?,? (\d{4})$"
-    month_first = r"^([a-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$"
-    g = F.regexp_extract
-    word = F.when(t.rlike(day_first), g(t, day_first, 2)).otherwise(g(t, month_first, 1))
-    months = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-    number = F.coalesce(*[F.when(F.lit(m).startswith(word) | ((word == "sept") & F.lit(m == "september")), F.lit(i)) for i, m in enumerate(months, 1)]).cast("string")
-    made = (
-        F.when(t.rlike(iso), F.concat_ws("-", g(t, iso, 1), F.lpad(g(t, iso, 2), 2, "0"), F.lpad(g(t, iso, 3), 2, "0")))
-        .when(t.rlike(dotted), F.concat_ws("-", g(t, dotted, 3), F.lpad(g(t, dotted, 2), 2, "0"), F.lpad(g(t, dotted, 1), 2, "0")))
-        .when(t.rlike(day_first) & number.isNotNull(), F.concat_ws("-", g(t, day_first, 3), F.lpad(number, 2, "0"), F.lpad(g(t, day_first, 1), 2, "0")))
-        .when(t.rlike(month_first) & number.isNotNull(), F.concat_ws("-", g(t, month_first, 3), F.lpad(number, 2, "0"), F.lpad(g(t, month_first, 2), 2, "0")))
-    )
-    return made.try_cast("date").cast("string")
+    return date_of(date_parts(collapsed(c)))
 
 
-def read_whole(c: Column) -> Column:
-    """Plain digits of one exact whole number; grouping marks, sign, exponent and .0 allowed."""
-    t = _trim(c)
-    mark = "[ ,'_   ]"
+def plain_number(text: Column) -> Column:
+    """A written number without grouping marks, as decimal; null where it is none."""
+    mark = "[ ,'_\u00a0\u2009\u202f]"
     grouped = rf"^[+-]?\d{{1,3}}(?:{mark}\d{{3}})+(?:\.0+)?$"
     dots = r"^[+-]?\d{1,3}(?:\.\d{3}){2,}$"
     plain = r"^[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d{1,2})?$"
-    digits = F.when(t.rlike(grouped), F.regexp_replace(t, mark, "")).when(t.rlike(dots), F.regexp_replace(t, r"\.", "")).when(t.rlike(plain), t)
-    value = F.regexp_replace(digits, r"^\+", "").try_cast("decimal(38,10)")
-    return F.when((value == F.floor(value)) & (F.abs(value) < F.lit(10**18)), value.try_cast("bigint").cast("string"))
+    digits = F.when(text.rlike(plain), text).when(text.rlike(grouped), F.regexp_replace(text, mark, "")).when(text.rlike(dots), F.regexp_replace(text, r"\.", ""))
+    return digits.try_cast("decimal(38,10)")
+
+
+def whole_of(number: Column) -> Column:
+    """Plain digits of a decimal that is a whole number and fits bigint."""
+    return F.when(number == F.floor(number), number.try_cast("bigint").cast("string"))
+
+
+def read_whole(c: Column) -> Column:
+    """Plain digits of one exact whole number that fits bigint; grouping marks, sign, exponent and .0 allowed."""
+    return whole_of(plain_number(_trim(c)))
+
+
+def text_of(text: Column) -> Column:
+    return F.when(text.rlike("^(?i:wd:)?[qQ][0-9]+$"), normal_qid(text)).otherwise(F.when(text != "", text))
 
 
 def read_text(c: Column) -> Column:
-    t = F.regexp_replace(_trim(c), f"{BLANK}+", " ")
-    return F.when(t.rlike("^(?i:wd:)?[qQ][0-9]+$"), normal_qid(t)).otherwise(F.when(t != "", t))
+    return text_of(collapsed(c))
+
+
+def read_cells(triples: DataFrame, dates: Sequence[str] = DATES, whole: Sequence[str] = WHOLE) -> DataFrame:
+    """(e, p, v, no): every row, normalised, v null where it is not readable.
+
+    Steps that are used more than once are columns of a projection of their
+    own, so each is evaluated once and the generated code stays short.
+    """
+    t = triples.select(normal_qid(F.col("e")).alias("e"), normal_property(F.col("p")).alias("p"), collapsed(F.col("v")).alias("t"), F.coalesce(F.col("triple_no").cast("bigint"), F.lit(-(2**63))).alias("no"))
+    t = t.withColumn("kind", F.when(F.lower("t").isin(*NO_VALUE), 0).when(F.col("p").isin(*dates), 1).when(F.col("p").isin(*whole), 2).otherwise(3))
+    t = t.select("e", "p", "no", "t", "kind", F.when(F.col("kind") == 1, date_parts(F.col("t"))).alias("parts"), F.when(F.col("kind") == 2, plain_number(F.col("t"))).alias("number"))
+    value = F.when(F.col("kind") == 1, date_of(F.col("parts"))).when(F.col("kind") == 2, whole_of(F.col("number"))).when(F.col("kind") == 3, text_of(F.col("t")))
+    return t.select("e", "p", value.alias("v"), "no")
+
+
+def _winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a batch with one (entity, property) the readable one of the highest number, ties by the greater value; rows without entity or property are dropped."""
+    for b in batches:
+        b = b.filter(pc.and_(pc.is_valid(b.column("e")), pc.is_valid(b.column("p"))))
+        if not b.num_rows:
+            continue
+        e, p = (b.column(c).dictionary_encode() for c in ("e", "p"))
+        cell = e.indices.to_numpy().astype(np.int64) * len(p.dictionary) + p.indices.to_numpy()
+        keys = pa.table({"cell": cell, "none": pc.is_null(b.column("v")), "no": b.column("no"), "v": b.column("v")})
+        order = pc.sort_indices(keys, sort_keys=[("cell", "ascending"), ("none", "ascending"), ("no", "descending"), ("v", "descending")]).to_numpy()
+        first = np.ones(len(order), bool)
+        first[1:] = cell[order[1:]] != cell[order[:-1]]
+        yield b.take(pa.array(order[first]))
 
 
-def best_cells(triples: DataFrame, dates: Sequence[str] = DATES, whole: Sequence[str] = WHOLE) -> DataFrame:
-    """(e, p, v): for every entity and property the readable value of the highest triple_no, v null where none is readable."""
-    t = triples.select(normal_qid(F.col("e")).alias("e"), normal_property(F.col("p")).alias("p"), F.col("v"), F.coalesce(F.col("triple_no"), F.lit(-(2**63))).alias("no")).where("e is not null and p is not null")
-    value = F.when(F.lower(_trim(F.col("v"))).isin(*NO_VALUE), None).otherwise(F.when(F.col("p").isin(*dates), read_date(F.col("v"))).when(F.col("p").isin(*whole), read_whole(F.col("v"))).otherwise(read_text(F.col("v"))))
-    t = t.select("e", "p", "no", value.alias("v"))
-    return t.groupBy("e", "p").agg(F.max(F.when(F.col("v").isNotNull(), F.struct("no", "v"))).alias("w")).select("e", "p", F.col("w.v").alias("v"))
+def _changes(a: pa.Array, before: str | None) -> np.ndarray:
+    """Whether each value of a sorted array differs from the one before it."""
+    new = np.ones(len(a), bool)
+    new[1:] = pc.not_equal(a.slice(1), a.slice(0, len(a) - 1)).to_numpy(zero_copy_only=False)
+    new[0] = a[0].as_py() != before
+    return new
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the entities of one sorted partition from 0."""
-    part, last, at = TaskContext.get().partitionId(), None, -1
+    """The first row of each cell of one sorted partition, its entities numbered from 0."""
+    part, last_e, last_p, at = TaskContext.get().partitionId(), None, None, -1
     for b in batches:
-        if b.num_rows == 0:
+        if not b.num_rows:
             continue
-        e = b.column("e")
-        new = np.ones(len(e), dtype=np.int64)
-        new[1:] = np.asarray(pc.not_equal(e.slice(1), e.slice(0, len(e) - 1)).to_numpy(zero_copy_only=False), dtype=np.int64)
-        new[0] = int(e[0].as_py() != last)
-        local = at + np.cumsum(new)
-        at, last = int(local[-1]), e[len(e) - 1].as_py()
-        yield pa.RecordBatch.from_arrays([e, b.column("p"), b.column("v"), pa.array(np.full(len(e), part, np.int32)), pa.array(local)], ["e", "p", "v", "part", "local"])
+        e, p = b.column("e"), b.column("p")
+        new_e = _changes(e, last_e)
+        first = new_e | _changes(p, last_p)
+        local = at + np.cumsum(new_e)
+        at, last_e, last_p = int(local[-1]), e[len(e) - 1].as_py(), p[len(p) - 1].as_py()
+        out = pa.RecordBatch.from_arrays([e, p, b.column("v"), pa.array(np.full(len(e), part, np.int32)), pa.array(local)], ["e", "p", "v", "part", "local"])
+        yield out.filter(pa.array(first))
 
 
 def _assembler(properties: list[str], names: list[str], kinds: list[str], width: int):
@@ -166,7 +225,7 @@ def wide_table(triples: DataFrame, dates: Sequence[str] = DATES, whole: Sequence
     string. A property whose name would clash with `e` gets a trailing `_`.
     An entity with no readable value at all is a row of nulls. Rows without
     entity or property are no cells; equal triple_no are ordered by value, a
-    null triple_no is lowest. Numbers of 18 digits or more are not readable.
+    null triple_no is lowest. A whole number that bigint cannot hold is not readable.
     Columns of `triples` other than the four are ignored. An empty table gives
     an empty one with the single column `e`.
 
@@ -175,9 +234,9 @@ def wide_table(triples: DataFrame, dates: Sequence[str] = DATES, whole: Sequence
     as keeps its cells under `cells_per_range`, which bounds a task's memory.
     """
     spark = triples.sparkSession
-    cells = best_cells(triples, dates, whole)
-    sorted_cells = cells.repartitionByRange(F.col("e")).sortWithinPartitions("e", "p")
-    kept = scratch.keep(sorted_cells.mapInArrow(_number, "e string, p string, v string, part int, local bigint"), "cells")
+    cells = read_cells(triples, dates, whole).mapInArrow(_winners, "e string, p string, v string, no bigint")
+    sorted_cells = cells.repartition(F.col("e")).sortWithinPartitions("e", "p", F.col("v").isNull(), F.desc("no"), F.desc("v"))
+    kept = scratch.keep(sorted_cells.select("e", "p", "v").mapInArrow(_number, "e string, p string, v string, part int, local bigint"), "cells")
     properties = sorted(r[0] for r in kept.where("v is not null").select("p").distinct().limit(max_columns + 1).collect())
     if len(properties) > max_columns:
         raise ValueError(f"more than {max_columns} properties; raise max_columns if the wide table is to be that wide")
