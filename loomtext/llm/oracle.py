@@ -72,6 +72,11 @@ ORACLE = {
       select reason, p.split, p.outlet, any_value(n_rows) as n_rows, count(*) as n_hit, sum(pairs)::bigint as n_pairs
       from h join p on p.id = h.e join m on m.split = p.split and m.outlet is not distinct from p.outlet group by all""",
     "p3_found": f"with {_KEYS} select link_id from k join f using (key) where first < link_id",
+    "p3_audit": f"""with {_KEYS}, r as (select link_id, first < link_id as seen from k join f using (key) where link_id >= 0)
+      select count(*) as n_rows, (select count(*) from f) as n_keys, 0.0::double as expected_false_positives, 0 as false_positives, 0 as false_negatives, 0 as unanswered,
+        count(*) filter (not seen) as n_new, 0.0::double as false_positive_rate from r""",
+    "p6_counts": f"""with {_FREQUENT}, t as (select field, sum(n) as rows from c group by field)
+      select field, item, n::bigint as n, round(n / rows, 9) as share from q join c using (field, item) join t using (field)""",
     "p6_found": f"with {_FREQUENT} select field, item from q",
     "p7_found": f"with {_TERMS} select term, mark from z where mark is not null",
     "p7_terms": f"with {_TERMS} select * from z",

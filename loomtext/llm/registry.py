@@ -42,6 +42,10 @@ def p3_audit(spark: SparkSession, d: str) -> DataFrame:
     return seen.audit(_read(spark, d, "linked_entities"), _read(spark, d, "kb_search"))
 
 
+def p3_filter(spark: SparkSession, d: str) -> DataFrame:
+    return seen.filter_report(seen.linked_entities_seen(_read(spark, d, "linked_entities"), _read(spark, d, "kb_search")))
+
+
 def _frequent(spark: SparkSession, d: str) -> DataFrame:
     qids = _read(spark, d, "linked_entities").select(F.lit("qid").alias("field"), normal_qid(F.col("qid")).alias("item"))
     blank = F.when(F.col("text").isNotNull(), F.coalesce(seen.normal_mention(F.col("text")), F.lit("")))
@@ -54,6 +58,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts and shares of the second pass."""
+    return _frequent(spark, d).select("field", "item", "n", F.round("share", 9).alias("share"))
+
+
+def p6_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """The summaries' counts with their error bounds beside the exact ones."""
     return _frequent(spark, d)
 
 
@@ -106,4 +116,10 @@ def p5_mentions(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("mention_id"), "qid", "cost")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_audit": p3_audit, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_mentions": p5_mentions, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p7_terms": p7_terms, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_uses": p9_uses, "p9_shares": p9_shares, "p10_found": p10_found, "p10_validation": p10_validation}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_groups, p3_found, p3_audit, p3_filter, p4_found, p4_report, p5_found, p5_mentions, p6_found, p6_counts, p6_estimates, p7_found, p7_terms,
+        p8_pack, p8_fill, p9_uses, p9_shares, p10_found, p10_validation,
+    )
+}

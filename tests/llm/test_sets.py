@@ -15,16 +15,20 @@ from loomtext.llm.gcs import GolombSet, SeenFilter
 def test_golomb_round_trip(values):
     v = np.array(sorted(values), np.uint64)
     s = GolombSet(v, 44)
-    assert (s.values() == v).all() and s.contains(v).all()
+    assert (s.values() == v).all() and s.contains(v)[0].all()
     other = np.array(sorted({(x + 1) % 2**44 for x in values} - values), np.uint64)
-    assert not len(other) or not s.contains(other).any()
+    assert not len(other) or not s.contains(other)[0].any()
 
 
 def test_golomb_size_and_sparse_probes():
     v = np.unique(np.random.default_rng(1).integers(0, 2**44, 200_000, np.uint64))
     s = GolombSet(v, 44)
     assert s.nbytes() * 8 / len(v) < np.log2(2**44 / len(v)) + 3.5
-    assert s.contains(v[[5, 100_000, len(v) - 1]]).all() and not s.contains(v[[5, 100_000]] + np.uint64(1)).any()
+    found, decoded = s.contains(v[[5, 100_000, len(v) - 1]])
+    assert found.all() and decoded == 3 and not s.contains(v[[5, 100_000]] + np.uint64(1))[0].any()
+    some = np.sort(np.random.default_rng(2).choice(v, 300, replace=False))
+    found, decoded = s.contains(some)
+    assert found.all() and decoded <= 300 < len(s.firsts)
 
 
 def test_golomb_dense_values():
@@ -42,7 +46,28 @@ def test_filter_levels():
             want.append(x in known)
             known.add(x)
         assert f.offer(batch).tolist() == want
-    assert len(f.levels) <= 8 and f.kept == len(known)
+    assert 0 < len(f.levels) <= 8 and f.kept == len(known) and 0 < f.decoded <= f.asked
+
+
+def test_filter_decodes_part_of_a_large_set():
+    rng = np.random.default_rng(4)
+    f = SeenFilter(44)
+    for _ in range(100):
+        f.offer(rng.integers(0, 2**44, 10_000, np.uint64))
+    asked, decoded = f.asked, f.decoded
+    values = rng.integers(0, 2**44, 500, np.uint64)
+    assert f.offer(values).sum() == 0 and f.offer(values).all()
+    assert (f.decoded - decoded) < 0.2 * (f.asked - asked) and f.nbytes() < 5 * f.kept
+
+
+def test_shards_count_the_history():
+    assert seen.shards_for(1000, 8) == 8 and seen.shards_for(5_000_000_000, 8) == 2048 and seen.shards_for(0, 1) == 1
+
+
+def test_levels_are_built_through_the_operator(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("no"), (F.col("id") % 30_000).cast("string").alias("key"))
+    row = seen.filter_report(seen.seen_before(rows, "no", F.col("key"))).first()
+    assert row["n_keys"] == 30_000 and 0 < row["n_decoded"] <= row["n_blocks"]
 
 
 def run(spark, rows, history=()):
@@ -68,7 +93,7 @@ def test_seen_hot_key_out_of_order(spark):
 
 def test_audit(spark, data):
     row = seen.audit(spark.read.parquet(f"{data}/linked_entities.parquet"), spark.read.parquet(f"{data}/kb_search.parquet")).first()
-    assert row["false_negatives"] == 0 and row["unanswered"] == 0 and row["false_positives"] <= 1 and 0 < row["expected_false_positives"] < 1e-3
+    assert row["false_negatives"] == 0 and row["unanswered"] == 0 and row["false_positives"] <= 1 and row["expected_false_positives"] < 1e-3
 
 
 def test_summary_bounds():
@@ -107,7 +132,7 @@ def test_frequent(spark):
 def test_estimates_bound_the_counts(spark, data):
     from loomtext.llm import registry
 
-    got = registry.QUERIES["p6_counts"](spark, data)
+    got = registry.QUERIES["p6_estimates"](spark, data)
     assert got.where("estimate < n or estimate - error > n").count() == 0
 
 
