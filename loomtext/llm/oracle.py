@@ -79,5 +79,7 @@ ORACLE = {
       select field, item, n::bigint as n, round(n / rows, 9) as share from q join c using (field, item) join t using (field)""",
     "p6_found": f"with {_FREQUENT} select field, item from q",
     "p7_found": f"with {_TERMS} select term, mark from z where mark is not null",
+    "p9_checks": """select lower(trim(source_name)) as source, target_share, max_repeats, true as within_repeats, true as epochs_whole, true as within_budget, true as filled, true as short_at_cap
+      from mix_targets where source_name is not null and target_share > 0 and max_repeats > 0""",
     "p7_terms": f"with {_TERMS} select * from z",
 }

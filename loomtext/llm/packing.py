@@ -1,7 +1,7 @@
 """Problem 8: filling containers of fixed capacity.
 
 First-fit decreasing inside groups of documents drawn at random by a hash of
-the document's id. A group holds about `group_size` documents however large
+the row's number, so that repeated ids and texts spread like any others. A group holds about `group_size` documents however large
 the table is, so every task is bounded and the unused space, which comes from
 the last containers of a group, is a fixed small share. The first container
 with room is found in a tournament tree over the room left, in logarithmic
@@ -73,14 +73,17 @@ def first_fit_decreasing(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> t
     )
 
 
+_OUT = "container string, doc_id bigint, piece int, tokens bigint, container_no bigint, space_left bigint"
+
+
 def _pack(t: pa.Table) -> pa.Table:
-    ids, sizes = t["doc_id"].to_numpy(), t["tokens"].to_numpy()
+    rows, ids, sizes = t["row"].to_numpy(), t["doc_id"].combine_chunks(), t["tokens"].to_numpy()
     capacity, group, name = t["capacity"][0].as_py(), t["grp"][0].as_py(), t["container"][0].as_py()
-    at, piece, size, container, room = first_fit_decreasing(ids, sizes, capacity)
+    at, piece, size, container, room = first_fit_decreasing(rows, sizes, capacity)
     return pa.table(
         {
             "container": pa.array([name] * len(at), pa.string()),
-            "doc_id": pa.array(ids[at]),
+            "doc_id": ids.take(pa.array(at)),
             "piece": pa.array(piece.astype(np.int32)),
             "tokens": pa.array(size.astype(np.int64)),
             "container_no": pa.array((group << _BITS) + container),
@@ -97,24 +100,27 @@ def pack(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_co
     numbered from 0, any other as piece 0 alone. Null and empty texts have 0
     tokens and still get a place; rows of one id are items of their own; a null
     id stays null. Kinds of containers with a null or non-positive capacity are
-    ignored. Other columns are ignored. Empty tables give an empty result.
+    ignored; several capacities under one name are kinds of their own, told
+    apart by container_no. Other columns are ignored. Empty tables give an
+    empty result.
     """
-    kinds = [(r[0], int(r[1])) for r in containers.select("container", "capacity_tokens").distinct().collect() if r[1] and r[1] > 0]  # a handful of kinds
+    kinds = sorted((r[0] or "", r[0], int(r[1])) for r in containers.select("container", "capacity_tokens").distinct().collect() if r[1] and r[1] > 0)  # a handful of kinds
     if not kinds:
-        return docs.sparkSession.createDataFrame([], "container string, doc_id bigint, piece int, tokens bigint, container_no bigint, space_left bigint")
+        return docs.sparkSession.createDataFrame([], _OUT)
     groups = max(1, -(-docs.count() // group_size))
     items = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     items = scratch.spread(items).mapInArrow(K.sizer("text", vocabulary, ("doc_id",)), "doc_id bigint, tokens bigint")
-    grp = F.pmod(F.xxhash64("doc_id", "tokens", F.lit(SEED)), F.lit(groups))
-    kind = F.explode(F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("bigint").alias("capacity")) for n, c in kinds]))
-    spread = items.withColumn("grp", grp).select("doc_id", "tokens", "grp", kind.alias("k")).select("doc_id", "tokens", "grp", "k.container", "k.capacity")
-    spread = spread.withColumn("missing", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    out = spread.groupBy("container", "grp").applyInArrow(_pack, "container string, doc_id bigint, piece int, tokens bigint, container_no bigint, space_left bigint")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
+    items = scratch.keep(items.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    grp = F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(groups))
+    kind = F.explode(F.array(*[F.struct(F.lit(n).cast("string").alias("container"), F.lit(c).cast("bigint").alias("capacity"), F.lit(i * groups).cast("bigint").alias("first")) for i, (_, n, c) in enumerate(kinds)]))
+    spread = items.withColumn("grp", grp).select("row", "doc_id", "tokens", "grp", kind.alias("k"))
+    spread = spread.select("row", "doc_id", "tokens", "k.container", "k.capacity", (F.col("k.first") + F.col("grp")).alias("grp"))
+    return spread.groupBy("grp").applyInArrow(_pack, _OUT)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """(container, n_containers, n_least, n_split, tokens, share_filled): n_least is the number that perfect filling would need."""
-    each = packed.groupBy("container", "container_no").agg(F.sum("tokens").alias("tokens"), F.max("space_left").alias("space"), F.max(F.when(F.col("piece") > 0, 1).otherwise(0)).alias("split"))
-    out = each.groupBy("container").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("tokens"), F.max(F.col("tokens") + F.col("space")).alias("capacity"), F.sum("split").alias("n_split"))
-    return out.select("container", "n_containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("n_least"), "n_split", "tokens", (F.col("tokens") / (F.col("n_containers") * F.col("capacity"))).alias("share_filled"))
+    """(container, capacity, n_containers, n_least, n_split, tokens, share_filled) per kind of container: n_least is the number that perfect filling would need, n_split the documents in more than one piece."""
+    each = packed.groupBy("container", "container_no").agg(F.sum("tokens").alias("tokens"), F.max("space_left").alias("space"), F.count(F.when(F.col("piece") == 1, 1)).alias("split"))
+    out = each.groupBy("container", (F.col("tokens") + F.col("space")).alias("capacity")).agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("tokens"), F.sum("split").alias("n_split"))
+    filled = F.col("tokens") / (F.col("n_containers") * F.col("capacity"))
+    return out.select("container", "capacity", "n_containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("n_least"), "n_split", "tokens", filled.alias("share_filled"))

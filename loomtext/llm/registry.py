@@ -84,11 +84,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_uses(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"), mixing.CORPUS)[0]
+    return mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"), mixing.CORPUS, lang_col="lang")[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.share_report(*mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"), mixing.CORPUS))
+    return mixing.share_report(*mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"), mixing.CORPUS, lang_col="lang"))
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.checks(*mixing.mix(_read(spark, d, "documents"), _read(spark, d, "mix_targets"), mixing.CORPUS, lang_col="lang"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +124,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_groups, p3_found, p3_audit, p3_filter, p4_found, p4_report, p5_found, p5_mentions, p6_found, p6_counts, p6_estimates, p7_found, p7_terms,
-        p8_pack, p8_fill, p9_uses, p9_shares, p10_found, p10_validation,
+        p8_pack, p8_fill, p9_uses, p9_shares, p9_checks, p10_found, p10_validation,
     )
 }

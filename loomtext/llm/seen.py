@@ -138,7 +138,7 @@ def filter_report(got: DataFrame) -> DataFrame:
 def audit(linked: DataFrame, kb_search: DataFrame) -> DataFrame:
     """One row: answers given, keys kept, false positives expected in theory, and false positives and negatives against an exact comparison of all rows."""
     got = scratch.keep(linked_entities_seen(linked, kb_search), "seen")
-    theory = got.agg(F.count(F.when(~F.col("history"), 1)).alias("n_rows"), F.coalesce(F.sum("kept"), F.lit(0)).alias("n_keys"), F.round(F.coalesce(F.sum("chance"), F.lit(0.0)), 6).alias("expected_false_positives"))
+    theory = got.agg(F.count(F.when(~F.col("history"), 1)).alias("n_rows"), F.coalesce(F.sum("kept"), F.lit(0)).alias("n_keys"), F.round(F.coalesce(F.sum("chance"), F.lit(0.0)), 4).alias("expected_false_positives"))
     rows = linked.select(F.col("link_id").alias("no"), entity_key(F.col("qid"), F.col("mention")).alias("key")).where("key is not null")
     known = known_keys(kb_search).where("key is not null")
     firsts = rows.union(known.select(F.lit(-1).cast("bigint"), "key")).groupBy("key").agg(F.min("no").alias("first"))

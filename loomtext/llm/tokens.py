@@ -27,33 +27,38 @@ def encoder(path: str = VOCABULARY):
     return _LOADED[path]
 
 
-def sizer(text_col: str, path: str, carry: tuple[str, ...], quality: bool = False) -> Callable:
-    """mapInArrow function to the carried columns, tokens (0 for null and empty texts) and, if asked for, quality."""
+#: What a text is judged by, in this order.
+SIGNALS = ("tokens a character", "letters", "capitals", "digits", "marks", "mark-up", "line breaks")
+_KIND = np.full(256, 4, np.uint8)  # marks
+_KIND[[*range(97, 123), *range(128, 256)]] = 0  # small letters and bytes beyond ASCII
+_KIND[65:91] = 1
+_KIND[48:58] = 2
+_KIND[[9, 32]] = 3
+_KIND[[60, 62, 123, 125, 124, 92]] = 5  # < > { } | \
+_KIND[[10, 13]] = 6
+
+
+def signals_of(text: str | None, tokens: int) -> list[float]:
+    """Tokens a character, and shares of the kinds of characters, small differences of small shares spread out; zeros for no text."""
+    if not text:
+        return [0.0] * len(SIGNALS)
+    n = np.bincount(_KIND[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=7)
+    whole = float(n.sum())
+    small = np.log1p(100 * np.array([n[1], n[2], n[4], n[5], n[6]]) / whole)
+    return [tokens / len(text), float(n[0] + n[1]) / whole, *small.tolist()]
+
+
+def sizer(text_col: str, path: str, carry: tuple[str, ...], signals: bool = False) -> Callable:
+    """mapInArrow function to the carried columns, tokens (0 for null and empty texts) and, if asked for, signals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
         for b in batches:
             texts = b.column(text_col).to_pylist()
-            out = [*(b.column(c) for c in carry), pa.array([len(encode(t)) if t else 0 for t in texts], pa.int64())]
-            if quality:
-                out.append(pa.array([quality_of(t) for t in texts], pa.float64()))
-            yield pa.RecordBatch.from_arrays(out, [*carry, "tokens", *["quality"] * quality])
+            sizes = [len(encode(t)) if t else 0 for t in texts]
+            out = [*(b.column(c) for c in carry), pa.array(sizes, pa.int64())]
+            if signals:
+                out.append(pa.array([signals_of(t, n) for t, n in zip(texts, sizes)], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(out, [*carry, "tokens", *["signals"] * signals])
 
     return run
-
-
-_KIND = np.zeros(256, np.uint8)
-_KIND[[*range(97, 123), *range(128, 256)]] = 1  # small letters and bytes beyond ASCII
-_KIND[65:91] = 2
-_KIND[[9, 10, 13, 32]] = 3
-_KIND[[60, 62, 123, 125, 124, 92]] = 4  # < > { } | \
-
-
-def quality_of(text: str | None) -> float:
-    """Between 0.05 and 1: the share of letters and blanks, lowered for capitals beyond a fifth of the letters and for mark-up."""
-    if not text:
-        return 0.05
-    n = np.bincount(_KIND[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=5)
-    letters = max(1, int(n[1] + n[2]))
-    q = (n[1] + n[2] + n[3]) / n.sum() * (1 - max(0.0, n[2] / letters - 0.2)) / (1 + 20 * n[4] / n.sum())
-    return float(min(1.0, max(0.05, q)))

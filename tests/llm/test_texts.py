@@ -97,9 +97,18 @@ def test_packing(spark):
     assert one.where("doc_id = 2").count() == 1 and one.where("doc_id = 4").count() == 2 and one.where("doc_id is null").count() == 1
     report = {r["container"]: r.asDict() for r in packing.fill_report(got).collect()}
     assert set(report) == {"s", "m"} and report["s"]["n_containers"] == report["s"]["n_least"]
+    two = packing.pack(docs, spark.createDataFrame([("s", 512), ("s", 2048)], "container string, capacity_tokens int"))
+    assert sorted(r["capacity"] for r in packing.fill_report(two).collect()) == [512, 2048] and two.groupBy("container_no").agg(F.sum("tokens") + F.max("space_left")).distinct().count() > 2
     assert packing.pack(docs.where("false"), sizes).count() == 0 and packing.pack(docs, sizes.where("false")).count() == 0
 
 
+def test_copies_of_one_row_are_spread_over_groups(spark):
+    docs = spark.range(900).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("the same text").alias("text"))
+    got = packing.pack(docs, spark.createDataFrame([("s", 64)], "container string, capacity_tokens int"), group_size=100)
+    per = [r["count"] for r in got.groupBy(F.shiftright("container_no", 24)).count().collect()]
+    assert len(per) == 9 and max(per) < 160 and got.count() == 900
+
+
 def test_packing_fill(spark, data):
     got = packing.fill_report(packing.pack(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/container_sizes.parquet")))
     assert got.where("share_filled < 0.9").count() == 0
@@ -142,21 +151,34 @@ def test_mixing_budget_and_odd_rows(spark):
     assert mixing.mix(docs, spark.createDataFrame([], TARGETS))[0].agg(F.sum("uses")).first()[0] == 0
 
 
-def test_prefix_is_exact(spark):
-    """The two-level prefix sum chooses what a plain sorted prefix chooses, and documents behind it close the gap."""
-    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("word "), (F.col("id") % 17).cast("int") + 1).alias("text"))
-    targets = spark.createDataFrame([("s", 1.0, 2)], TARGETS)
-    uses, _ = mixing.mix(docs, targets, total_tokens=5003)
-    items = mixing.sized(docs, "doc_id", "text", "source", K.VOCABULARY).orderBy("key", "row").collect()
-    total, want = 0, set()
-    for r in items:
-        if total + r["tokens"] > 5003:
-            break
-        want.add(r["doc_id"])
-        total += r["tokens"]
-    got = {r["doc_id"] for r in uses.where("uses > 0").collect()}
-    assert want <= got and len(got - want) <= mixing.LOOK_AHEAD
-    assert 5000 <= uses.agg(F.sum(F.col("tokens") * F.col("uses"))).first()[0] <= 5003
+@pytest.mark.parametrize("edge_rows", [mixing.EDGE_ROWS, 3])
+def test_prefix_is_exact(spark, edge_rows):
+    """Sums in levels and stretches choose what one walk over the sorted source chooses, in one stretch or in many."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("word "), ((F.col("id") * 7) % 17).cast("int") + 3).alias("text"))
+    uses, _ = mixing.mix(docs, spark.createDataFrame([("s", 1.0, 2)], TARGETS), total_tokens=5003, edge_rows=edge_rows)
+    left, want = 5003, set()
+    for r in mixing.sized(docs, "doc_id", "text", "source", K.VOCABULARY).orderBy("key", "row").collect():
+        if r["tokens"] <= left:
+            want.add(r["doc_id"])
+            left -= r["tokens"]
+    assert {r["doc_id"] for r in uses.where("uses > 0").collect()} == want and uses.count() == 2000
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Copies of one id share the first 40 bits of their keys; the level behind them parts the copies."""
+    docs = spark.range(5000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("s").alias("source"), F.lit("one two three four").alias("text"))
+    uses, per = mixing.mix(docs, spark.createDataFrame([("s", 1.0, 1)], TARGETS), total_tokens=8001, edge_rows=50)
+    assert uses.count() == 5000 and uses.agg(F.sum("uses")).first()[0] == 2000 and mixing.checks(uses, per).first()["filled"]
+
+
+def test_odd_texts_are_drawn_late(spark):
+    """The fitted weight is low for texts unlike the rest of their language; a given column takes its place."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.lit("<p>|<b>|{}</b>|</p>\n\n")).otherwise(F.concat(F.lit("A plain sentence with number "), F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang"), (F.col("id") / 400).alias("w"), F.lit("s").alias("source"))
+    rows = mixing.fitted_quality(docs.mapInArrow(K.sizer("text", K.VOCABULARY, ("doc_id", "lang"), signals=True), "doc_id bigint, lang string, tokens bigint, signals array<double>"))
+    odd, plain = (rows.where(c).agg(F.avg("quality")).first()[0] for c in ("doc_id % 10 = 0", "doc_id % 10 > 0"))
+    assert odd < 0.6 * plain and rows.where("quality < 0.05 or quality > 1").count() == 0
+    uses, _ = mixing.mix(docs, spark.createDataFrame([("s", 1.0, 1)], TARGETS), total_tokens=700, quality_col="w")
+    assert uses.where("uses = 1 and doc_id >= 200").count() > 2 * uses.where("uses = 1 and doc_id < 200").count()
 
 
 def test_long_document_does_not_end_a_source(spark):
