@@ -11,11 +11,15 @@ exact shingle sets; links are joined to groups.
 
 Rows whose words are the same are one class and are signed once. A key shared
 by more than `dense` classes is not expanded into pairs: all its members are
-verified against the least one, and members that are then still in another
-component are compared with the rest of the bucket, which leaves the groups
-exact. The links among members of such buckets are counted afterwards: both ends
-of a link lie in one component, so all pairs of a component's members are
-compared, in blocks of bounded size, and only the counts leave a block.
+verified against the least one, which joins what is alike. Members that then
+still lie in different components are compared through the prefixes of their
+shingle sets (llm/prefix), which is exact, and in which texts that share only
+boilerplate do not meet. So the groups depend neither on `dense` nor on how
+many texts share a key.
+
+Links are counted by an operator of its own: both ends of a link lie in one
+component, so all pairs of a component's members are compared, in blocks of
+bounded size, and only the counts leave a block.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..operators.components import connected_components
 from . import shingles as S
+from .prefix import prefix_pairs
 
 SYMBOLS, CHUNK, SEED = 48, 4, 11
 #: Members and shingles of a block of counted links, columns and expanded pairs held at once.
@@ -41,22 +46,13 @@ def classes_of(signed: DataFrame) -> DataFrame:
     return many.select("id", F.coalesce("rep", "id").alias("rep")).distinct()
 
 
-def jaccard_links(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, k: int, threshold: float, radius: int | None = None, symbols: int = 0, seed: int = 0) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs whose exact shingle similarity reaches the threshold.
-
-    Only texts in a pair are shingled again. With `radius`, pairs whose bit
-    fingerprints are further apart are dropped before the sets are compared.
-    """
+def jaccard_links(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs whose exact shingle similarity reaches the threshold. Only texts in a pair are shingled again."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
     chosen = texts.select(id_col, text_col).join(ids, id_col, "left_semi")
-    schema = "id bigint, sh array<bigint>" + (", code array<bigint>" if symbols else "")
-    sets = scratch.keep(chosen.mapInArrow(S.shingler(id_col, text_col, k, symbols, seed), schema), "shingles")
-    one = sets.select(F.col("id").alias("a"), *[F.col(c).alias(c + "_a") for c in sets.columns[1:]])
-    two = sets.select(F.col("id").alias("b"), *[F.col(c).alias(c + "_b") for c in sets.columns[1:]])
+    sets = scratch.keep(chosen.mapInArrow(S.shingler(id_col, text_col, k), "id bigint, sh array<bigint>"), "shingles")
+    one, two = sets.select(F.col("id").alias("a"), F.col("sh").alias("sh_a")), sets.select(F.col("id").alias("b"), F.col("sh").alias("sh_b"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    if radius is not None:
-        away = F.aggregate(F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        both = both.where(away <= radius)
     shared = F.size(F.array_intersect("sh_a", "sh_b"))
     both = both.select("a", "b", shared.alias("s"), (F.size("sh_a") + F.size("sh_b") - shared).alias("u"))
     return both.where((F.col("s") > 0) & (F.col("s") >= F.col("u") * threshold)).select("a", "b", (F.col("s") / F.col("u")).alias("similarity"))
@@ -73,22 +69,24 @@ def _bucket_pairs(members: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]
     return pairs, stars
 
 
-def _across(stars: DataFrame, comps: DataFrame, done: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Links between members of one large bucket that still lie in different components.
+def across_candidates(stars: DataFrame, comps: DataFrame, done: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b): candidates among the members of large buckets that still lie in different components.
 
-    A member meets some thirty stars, so almost all of a bucket hangs together
-    by now, and only members outside the component of the bucket's least one
-    are compared with the others. No link that joins components is left out.
+    A bucket whose members all lie in the component of its least one is done
+    with. The members of the others are compared by prefixes, whichever bucket
+    they come from, so no link that joins components is left out.
     """
     members = stars.select("key", F.col("a").alias("pivot"), F.col("b").alias("id")).union(stars.select("key", F.col("a").alias("pivot"), F.col("a").alias("id")).distinct())
     c = comps.select(F.col("node").alias("id"), "component")
     members = members.join(c, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     p = comps.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
     members = scratch.keep(members.join(p, "pivot", "left").select("key", "id", "c", F.coalesce("pc", "pivot").alias("pc")), "members")
-    apart = members.where("c <> pc").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    rest = apart.join(members.select("key", F.col("id").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return jaccard_links(scratch.keep(rest.join(done, ["a", "b"], "left_anti"), "rest"), docs, "id", "text", k, threshold)
+    mixed = members.groupBy("key").agg(F.max(F.col("c") != F.col("pc")).alias("mixed")).where("mixed").select("key")
+    chosen = members.join(mixed, "key", "left_semi").select("id", "c").distinct()
+    sets = docs.join(chosen.select("id"), "id", "left_semi").mapInArrow(S.shingler("id", "text", k), "id bigint, sh array<bigint>")
+    sets = scratch.keep(sets.join(chosen, "id"), "open")
+    pairs = prefix_pairs(sets, threshold, {"c": "bigint"}, F.min("c") != F.max("c"), lambda x, y: F.col(x + "c") != F.col(y + "c"))
+    return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -158,32 +156,36 @@ def _block_counts(threshold: float):
     return run
 
 
-def _hot_counts(hot: DataFrame, comps: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(rep, n_links): links among the classes of `hot` (id), all pairs of one component compared in blocks."""
-    chosen = docs.join(hot, "id", "left_semi")
-    sets = chosen.mapInArrow(S.shingler("id", "text", k), "id bigint, sh array<bigint>").join(comps.withColumnRenamed("node", "id"), "id")
-    sets = scratch.keep(sets.withColumn("salt", F.xxhash64("id", "sh")).dropDuplicates(["id", "salt"]), "hot")
+def link_counts(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """`groups` with n_links: the number of links of the row's class to other classes. All pairs of the classes of one group are compared, in blocks, so the work grows with the square of a group."""
+    reps = groups.select("rep", "group_no").distinct()
+    sizes = reps.groupBy("group_no").agg(F.count("*").alias("n")).where("n > 1").select("group_no")
+    reps = reps.join(sizes, "group_no").select(F.col("rep").alias("id"), "group_no")
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    sets = docs.join(reps.select("id").distinct(), "id", "left_semi").mapInArrow(S.shingler("id", "text", k), "id bigint, sh array<bigint>").join(reps, "id")
+    sets = scratch.keep(sets.withColumn("salt", F.xxhash64("id", "sh")).dropDuplicates(["id", "group_no", "salt"]), "grouped")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("sh")) / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    placed = sets.join(sets.groupBy("component").agg(blocks), "component").withColumn("block", F.pmod("salt", "blocks").cast("int")).drop("salt")
+    placed = sets.join(sets.groupBy("group_no").agg(blocks), "group_no").withColumn("block", F.pmod("salt", "blocks").cast("int")).drop("salt")
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = other.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "sh")
-    counts = pairs.groupBy("component", "x", "y").applyInArrow(_block_counts(threshold), "id bigint, n bigint")
-    return counts.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n_links"))
+    pairs = other.select("group_no", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "sh")
+    counts = pairs.groupBy("group_no", "x", "y").applyInArrow(_block_counts(threshold), "id bigint, n bigint")
+    per = counts.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n_links"))
+    return groups.join(per, "rep", "left").select("id", "rep", "group_no", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 5, dense: int = 32) -> DataFrame:
-    """One row per document with enough words: (id, rep, group_no, n_links).
+    """One row per document with enough words: (id, rep, group_no).
 
     rep is the least id with the same words, group_no the least id of all
-    documents that hang together by links of at least `threshold`, n_links the
-    number of verified links of the row's class to other classes. Similarity is
-    shared distinct runs of k words over all distinct runs of either text.
+    documents that hang together by links of at least `threshold`. Similarity
+    is shared distinct runs of k words over all distinct runs of either text.
 
     Null, empty and short texts (fewer than min_words words) are in no group and
     give no row, nor does a null id. Equal texts fall in one class; a row that
     is repeated with its id counts once, and an id with several texts is in the
     group of each of them. Other columns are ignored, whatever their names. An empty
     table gives an empty result. Thresholds under 0.5 would need more chunks.
+    `dense` changes the way, not the rows.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     sign = S.signer("id", "text", k, min_words, SYMBOLS, S.neighbour_blocks(SYMBOLS, CHUNK), SEED)
@@ -195,20 +197,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, k: int =
     first = scratch.keep(pairs.union(stars.select("a", "b")).where("a <> b").distinct(), "pairs")
     links = scratch.keep(jaccard_links(first, docs, "id", "text", k, threshold), "links")
     comps = connected_components(links)
-    counted = links
-    hot = not stars.isEmpty()
-    if hot:
-        links = scratch.keep(links.union(_across(stars, scratch.keep(comps, "comps"), first, docs, k, threshold)), "links")
-        comps = scratch.keep(connected_components(links), "comps")
-        busy = scratch.keep(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "busy")
-        ends = links.join(busy.select(F.col("id").alias("a"), F.lit(True).alias("hot_a")), "a", "left").join(busy.select(F.col("id").alias("b"), F.lit(True).alias("hot_b")), "b", "left")
-        counted = ends.where("hot_a is null or hot_b is null")
-    degree = counted.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    if hot:
-        degree = degree.union(_hot_counts(busy, comps, docs, k, threshold)).groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    of_rep = comps.withColumnRenamed("node", "rep").join(degree, "rep", "left")
-    out = classes.join(of_rep, "rep", "left")
-    return out.select("id", "rep", F.coalesce("component", "rep").alias("group_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if not stars.isEmpty():
+        rest = scratch.keep(across_candidates(stars, scratch.keep(comps, "comps"), first, docs, k, threshold), "rest")
+        comps = connected_components(links.union(jaccard_links(rest, docs, "id", "text", k, threshold)))
+    out = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("id", "rep", F.coalesce("component", "rep").alias("group_no"))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

@@ -59,11 +59,13 @@ i as (
 q as (select field, item from c qualify n >= 0.008 * sum(n) over (partition by field))
 """
 
+_LINKED = f"""with recursive {_SHINGLES.replace('>= 30', '>= 5')}, c as (select id, min(id) over (partition by w) as rep from w where len(w) >= 5),
+      l as (select j.a, j.b from j join n p on p.id = j.a join n q on q.id = j.b join c x on x.id = a and x.rep = a join c y on y.id = b and y.rep = b where j.c >= 0.8 * (p.n + q.n - j.c)), {_GROUPS}"""
+
 ORACLE = {
     "p1_found": f"with recursive {_SHINGLES}, {_LINKS.format(t=0.6)}, {_GROUPS} select x.node as article_no_a, y.node as article_no_b from g x join g y on x.g = y.g and x.node < y.node",
-    "p1_groups": f"""with recursive {_SHINGLES}, c as (select id, min(id) over (partition by w) as rep from w where len(w) >= 30),
-      l as (select j.a, j.b from j join n p on p.id = a join n q on q.id = b join c x on x.id = a and x.rep = a join c y on y.id = b and y.rep = b where j.c >= 0.8 * (p.n + q.n - j.c)), {_GROUPS},
-      k as (select rep, count(*) as n from (select a as rep from l union all select b from l) group by rep)
+    "p1_groups": f"{_LINKED} select c.id as article_no, c.rep, coalesce(g.g, c.rep) as group_no from c left join g on g.node = c.rep",
+    "p1_links": f"""{_LINKED}, k as (select rep, count(*) as n from (select a as rep from l union all select b from l) group by rep)
       select c.id as article_no, c.rep, coalesce(g.g, c.rep) as group_no, coalesce(k.n, 0) as n_links from c left join g on g.node = c.rep left join k on k.rep = c.rep""",
     "p4_found": f"with {_SHINGLES}, {_LINKS.format(t=0.6)}, {_OVERLAP} select distinct least(t, e) as article_no_a, greatest(t, e) as article_no_b from o",
     "p4_report": f"""with {_SHINGLES}, {_LINKS.format(t=0.6)}, {_OVERLAP},

@@ -4,9 +4,15 @@ Texts get a similarity-hash fingerprint of 1 024 bits, 64 minwise symbols of
 16 bits: two texts of similarity J differ in about (1 - J) / 2 of the bits.
 The fingerprint is cut into segments of 48 bits under two fixed permutations,
 42 code blocks; blocks are joined across the splits only, pairs outside the
-Hamming radius are dropped, the rest is verified on the exact shingle sets.
-At J = 0.6 a pair shares no block with probability below 0.0001, and lies
-outside the radius with probability below 0.0001.
+Hamming radius are dropped on the fingerprints alone, the rest is verified on
+the exact shingle sets. At J = 0.6 a pair shares no block with probability
+below 0.0004 (0.00001 at 0.7), and lies outside the radius with probability
+below 0.0001.
+
+A block with more than `dense` classes on both sides is not expanded: all
+members of such blocks are joined by the prefixes of their shingle sets
+instead (llm/prefix), which is exact, so a template that many rows share does
+not make pairs of them.
 
 Rows with equal words are one class; classes are compared, and a class link
 is expanded to rows at the end or counted without expansion in the report.
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from . import shingles as S
 from .neardup import jaccard_links
+from .prefix import prefix_pairs
 
 SYMBOLS, SEGMENT, ROUNDS, SEED, RADIUS = 64, 3, 2, 23, 352
 
@@ -34,21 +41,40 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
 
 
-def class_links(docs: DataFrame, k: int, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes (id, rep, train, split, outlet); links (a, b) across the splits, a = b where a class lies on both sides."""
-    sign = S.signer("id", "text", k, min_words, SYMBOLS, S.permuted_blocks(SYMBOLS, SEGMENT, ROUNDS, SEED), SEED, ("train", "split", "outlet"))
-    signed = scratch.keep(scratch.spread(docs.select("id", "text", "train", "split", "outlet")).mapInArrow(sign, "id bigint, train boolean, split string, outlet string, digest binary, keys array<bigint>"), "coded")
-    sides = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.max(F.col("train")).alias("has_train"), F.max(~F.col("train")).alias("has_eval"), F.first("keys").alias("keys"))
-    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = scratch.keep(signed.select("id", "train", "split", "outlet", "digest").join(reps, "digest").drop("digest"), "classes")
+def within_radius(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fingerprints (rep, code) differ in at most RADIUS bits."""
+    one, two = codes.select(F.col("rep").alias("a"), F.col("code").alias("x")), codes.select(F.col("rep").alias("b"), F.col("code").alias("y"))
+    away = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return pairs.join(one, "a").join(two, "b").where(away <= RADIUS).select("a", "b")
+
+
+def candidates(sides: DataFrame, docs: DataFrame, k: int, threshold: float, dense: int) -> DataFrame:
+    """(a, b): classes of (rep, has_train, has_eval, keys) that meet across the splits, in small blocks as they stand, in large ones by prefixes."""
     blocks = sides.select("rep", "has_train", "has_eval", F.explode("keys").alias("key"))
-    met = blocks.groupBy("key").agg(F.max("has_train").alias("t"), F.max("has_eval").alias("e"), F.count("*").alias("n")).where("t and e and n > 1").select("key")
-    blocks = blocks.join(met, "key")
-    left = blocks.where("has_train").select("key", F.col("rep").alias("x"))
-    right = blocks.where("has_eval").select("key", F.col("rep").alias("y"))
-    met_pairs = left.join(right, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = scratch.keep(met_pairs, "pairs")
-    links = jaccard_links(pairs, docs, "id", "text", k, threshold, RADIUS, SYMBOLS, SEED).select("a", "b")
+    met = blocks.groupBy("key").agg(F.count(F.when(F.col("has_train"), 1)).alias("t"), F.count(F.when(F.col("has_eval"), 1)).alias("e"), F.count("*").alias("n")).where("t > 0 and e > 0 and n > 1")
+    blocks = scratch.keep(blocks.join(met.select("key", (F.least("t", "e") > dense).alias("large")), "key"), "blocks")
+    left = blocks.where("has_train and not large").select("key", F.col("rep").alias("x"))
+    right = blocks.where("has_eval and not large").select("key", F.col("rep").alias("y"))
+    pairs = left.join(right, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    crowd = blocks.where("large").select("rep", "has_train", "has_eval").distinct()
+    if crowd.isEmpty():
+        return pairs
+    crowd = scratch.keep(crowd.withColumnRenamed("rep", "id"), "crowd")
+    sets = docs.join(crowd.select("id"), "id", "left_semi").mapInArrow(S.shingler("id", "text", k), "id bigint, sh array<bigint>")
+    sets = scratch.keep(sets.join(crowd, "id"), "open")
+    across = lambda x, y: (F.col(x + "has_train") & F.col(y + "has_eval")) | (F.col(x + "has_eval") & F.col(y + "has_train"))
+    return pairs.union(prefix_pairs(sets, threshold, {"has_train": "boolean", "has_eval": "boolean"}, F.max("has_train") & F.max("has_eval"), across)).distinct()
+
+
+def class_links(docs: DataFrame, k: int, threshold: float, min_words: int, dense: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): classes (id, rep, train, split, outlet); links (a, b) across the splits, a = b where a class lies on both sides. `dense` changes the way, not the rows."""
+    sign = S.signer("id", "text", k, min_words, SYMBOLS, S.permuted_blocks(SYMBOLS, SEGMENT, ROUNDS, SEED), SEED, ("train", "split", "outlet"), code=True)
+    schema = "id bigint, train boolean, split string, outlet string, digest binary, keys array<bigint>, code array<bigint>"
+    signed = scratch.keep(scratch.spread(docs.select("id", "text", "train", "split", "outlet")).mapInArrow(sign, schema), "coded")
+    sides = scratch.keep(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.max(F.col("train")).alias("has_train"), F.max(~F.col("train")).alias("has_eval"), F.first("keys").alias("keys"), F.first("code").alias("code")), "sides")
+    classes = scratch.keep(signed.select("id", "train", "split", "outlet", "digest").join(sides.select("digest", "rep"), "digest").drop("digest"), "classes")
+    pairs = scratch.keep(within_radius(candidates(sides, docs, k, threshold, dense), sides.select("rep", "code")), "pairs")
+    links = jaccard_links(pairs, docs, "id", "text", k, threshold).select("a", "b")
     same = sides.where("has_train and has_eval").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     return classes, scratch.keep(links.union(same), "links")
 
@@ -61,12 +87,12 @@ def prepared(articles: DataFrame) -> DataFrame:
 
 def titles(a: DataFrame, min_words: int, title_words: int) -> DataFrame:
     """(id, train, short, key) of rows with a title of title_words words or more."""
-    few = F.coalesce(F.size(words(F.col("text"))), F.lit(0)) < min_words
+    few = ~F.coalesce(F.lower("text").rlike(rf"^(?:[^a-z0-9]*+[a-z0-9]++){{{min_words}}}"), F.lit(False))  # stops at the last word that matters
     titled = a.select("id", "train", words(F.col("title")).alias("w"), few.alias("short")).where(F.size("w") >= title_words)
     return titled.select("id", "train", "short", F.concat_ws(" ", "w").alias("key"))
 
 
-def overlaps(articles: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 30, title_words: int = 5) -> DataFrame:
+def overlaps(articles: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 30, title_words: int = 5, dense: int = 64) -> DataFrame:
     """(t, e, reason): every pair of a training row and an evaluation row that repeat each other.
 
     reason is `text` (similarity of at least `threshold`, both texts of
@@ -77,7 +103,7 @@ def overlaps(articles: DataFrame, k: int = 5, threshold: float = 0.8, min_words:
     splits and rows without article_no are ignored. Repeated rows each count. An empty table gives no pair.
     """
     a = prepared(articles)
-    classes, links = class_links(a, k, threshold, min_words)
+    classes, links = class_links(a, k, threshold, min_words, dense)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     t = classes.where("train").select(F.col("rep").alias("a"), F.col("id").alias("t"))
     e = classes.where("not train").select(F.col("rep").alias("b"), F.col("id").alias("e"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators.stitch import normal_qid
 from . import frequent, mixing, names, neardup, overlap, packing, reading, seen, terms
 from .oracle import ORACLE  # noqa: F401
@@ -20,8 +21,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    groups = neardup.near_duplicate_groups(_read(spark, d, "articles"), "article_no", "text", min_words=30)
-    return groups.select(F.col("id").alias("article_no"), "rep", "group_no", "n_links")
+    groups = neardup.near_duplicate_groups(_read(spark, d, "articles"), "article_no", "text")
+    return groups.select(F.col("id").alias("article_no"), "rep", "group_no")
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The groups with the number of links of each text."""
+    articles = _read(spark, d, "articles")
+    groups = scratch.keep(neardup.near_duplicate_groups(articles, "article_no", "text"), "groups")
+    return neardup.link_counts(groups, articles, "article_no", "text").select(F.col("id").alias("article_no"), "rep", "group_no", "n_links")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +131,7 @@ def p5_mentions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_groups, p3_found, p3_audit, p3_filter, p4_found, p4_report, p5_found, p5_mentions, p6_found, p6_counts, p6_estimates, p7_found, p7_terms,
+        p1_found, p1_groups, p1_links, p3_found, p3_audit, p3_filter, p4_found, p4_report, p5_found, p5_mentions, p6_found, p6_counts, p6_estimates, p7_found, p7_terms,
         p8_pack, p8_fill, p9_uses, p9_shares, p9_checks, p10_found, p10_validation,
     )
 }

@@ -92,8 +92,8 @@ def _binary(items: list[bytes]) -> pa.Array:
     return pa.array(items, pa.binary())
 
 
-def signer(id_col: str, text_col: str, k: int, min_words: int, symbols: int, blocks: tuple[np.ndarray, np.ndarray], seed: int, carry: tuple[str, ...] = ()) -> Callable:
-    """mapInArrow function to (id, carried columns, digest, keys): a digest of the word sequence, and the join keys.
+def signer(id_col: str, text_col: str, k: int, min_words: int, symbols: int, blocks: tuple[np.ndarray, np.ndarray], seed: int, carry: tuple[str, ...] = (), code: bool = False) -> Callable:
+    """mapInArrow function to (id, carried columns, digest, keys[, code]): a digest of the word sequence, the join keys, and the bit fingerprint as 64-bit words.
 
     Texts with fewer than min_words words are dropped; null counts as none.
     """
@@ -102,35 +102,38 @@ def signer(id_col: str, text_col: str, k: int, min_words: int, symbols: int, blo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xors, odds = _permutations(symbols, seed)
         for b in batches:
-            at, digests, keys = [], [], []
+            at, digests, keys, codes = [], [], [], []
             for i, text in enumerate(b.column(text_col).to_pylist()):
                 w = word_hashes(text)
                 if len(w) < min_words:
                     continue
                 at.append(i)
                 digests.append(xxhash.xxh3_128_digest(w.tobytes()))
-                keys.append(keyed(minwise(shingles(w, k), xors, odds)[rows], numbers))
+                signature = minwise(shingles(w, k), xors, odds)
+                keys.append(keyed(signature[rows], numbers))
+                if code:
+                    codes.append(signature.astype(np.uint16).view(np.int64))
             take = pa.array(at, pa.int64())
-            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * len(numbers) + 1, len(numbers), dtype=np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(id_col).take(take), *(b.column(c).take(take) for c in carry), _binary(digests), lists], ["id", *carry, "digest", "keys"])
+            lists = [_lists(keys, len(numbers), np.uint64), *[_lists(codes, symbols // 4, np.int64)] * code]
+            yield pa.RecordBatch.from_arrays([b.column(id_col).take(take), *(b.column(c).take(take) for c in carry), _binary(digests), *lists], ["id", *carry, "digest", "keys", *["code"] * code])
 
     return run
 
 
-def shingler(id_col: str, text_col: str, k: int, symbols: int = 0, seed: int = 0) -> Callable:
-    """mapInArrow function to (id, sh[, code]): the distinct shingles, and the bit fingerprint as 64-bit words."""
+def _lists(parts: list[np.ndarray], each: int, kind: type) -> pa.ListArray:
+    """One list of `each` numbers a row."""
+    flat = np.concatenate(parts) if parts else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(parts) * each + 1, each, dtype=np.int32)), pa.array(flat.view(np.int64)))
+
+
+def shingler(id_col: str, text_col: str, k: int) -> Callable:
+    """mapInArrow function to (id, sh): the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xors, odds = _permutations(max(1, symbols), seed)
         for b in batches:
             sh = [shingles(word_hashes(t), k) for t in b.column(text_col).to_pylist()]
             ends = np.cumsum([0, *map(len, sh)]).astype(np.int32)
-            out = [b.column(id_col), pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(sh) if sh else np.empty(0, np.uint64)).view(np.int64)))]
-            if symbols:
-                codes = [minwise(s, xors, odds).astype(np.uint16).view(np.int64) for s in sh]
-                per = symbols // 4
-                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(sh) * per + 1, per, dtype=np.int32)), pa.array(np.concatenate(codes) if codes else np.empty(0, np.int64))))
-            yield pa.RecordBatch.from_arrays(out, ["id", "sh", "code"][: len(out)])
+            flat = np.concatenate(sh) if sh else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["id", "sh"])
 
     return run

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import neardup, overlap
+from loomtext.llm import neardup, overlap, prefix
 from loomtext.llm import shingles as S
 
 SCHEMA = "article_no bigint, id string, title string, text string, dataset string, split string, outlet string"
@@ -67,7 +67,8 @@ def test_odd_rows(spark):
     t = " ".join(words(50, 1))
     rows = [(1, t, "x"), (2, t, "y"), (3, t.upper() + " !!", None), (4, None, ""), (5, "", ""), (6, "too short", ""), (7, " ".join(words(50, 2)), "")]
     df = spark.createDataFrame(rows, "n bigint, body string, digest string").withColumns({"rep": F.lit(1), "key": F.lit(2), "keys": F.lit(3), "id": F.lit("clash")})
-    got = {r["id"]: (r["rep"], r["group_no"], r["n_links"]) for r in neardup.near_duplicate_groups(df, "n", "body").collect()}
+    groups = neardup.near_duplicate_groups(df, "n", "body")
+    got = {r["id"]: (r["rep"], r["group_no"], r["n_links"]) for r in neardup.link_counts(groups, df, "n", "body").collect()}
     assert got == {1: (1, 1, 0), 2: (1, 1, 0), 3: (1, 1, 0), 7: (7, 7, 0)}
     empty = neardup.near_duplicate_groups(df.where("false"), "n", "body")
     assert empty.count() == 0 and neardup.group_pairs(empty).count() == 0
@@ -80,15 +81,61 @@ def test_very_long_text(spark):
     assert {r["group_no"] for r in got} == {1}
 
 
-def test_hot_bucket_keeps_groups_exact(spark):
-    """A third of the rows are different near-copies of one text: their buckets are far over the dense limit."""
+@pytest.mark.parametrize("dense", [2, 8, 1000])
+def test_hot_bucket_keeps_groups_exact(spark, dense):
+    """A third of the rows are different near-copies of one text; the groups are those of brute force whatever counts as a large bucket."""
     base = words(120, 5)
     rows = [" ".join(edited(base, 2, i)) for i in range(150)] + [" ".join(edited(base, 14, 1000 + i)) for i in range(20)] + [" ".join(words(120, 100 + i)) for i in range(280)]
     rows = list(enumerate(rows, 1))
-    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", threshold=0.6, dense=8)
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", threshold=0.6, dense=dense)
     assert {r["id"]: r["group_no"] for r in got.collect()} == brute_groups(rows, 0.6, 5)
 
 
+def templated(n):
+    """Texts of which half is one template: similarity 1/3, so none is linked; every 50th is a near-copy of the one before."""
+    template, out = words(60, 1), []
+    for i in range(n):
+        own = words(60, 10_000 + i) if i % 50 or not i else edited(own, 1, i)
+        out.append((i, " ".join(template + own)))
+    return out
+
+
+def test_templates_do_not_make_pairs(spark, monkeypatch):
+    """Texts that share half their words meet in large buckets; candidates grow with their number, not with its square."""
+    seen = []
+    plain = neardup.across_candidates
+
+    def counted(*args):
+        out = plain(*args).cache()
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "across_candidates", counted)
+    for n in (500, 1000, 2000):
+        got = neardup.near_duplicate_groups(spark.createDataFrame(templated(n), "id bigint, text string"), "id", "text", threshold=0.6)
+        linked = {r["id"]: r["group_no"] for r in got.collect()}
+        assert linked == {i: i - 1 if i % 50 == 0 and i else i for i in range(n)}
+    assert len(seen) == 3 and all(k <= n for k, n in zip(seen, (500, 1000, 2000)))
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_prefixes_are_exact(spark, threshold):
+    """Every pair at the threshold is among the candidates, between sets of any sizes."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for g in range(60):
+        base = np.unique(rng.integers(0, 2**63, rng.integers(1, 80), np.uint64))
+        for _ in range(4):
+            keep = base[rng.random(len(base)) < rng.choice([0.7, 0.9, 1.0])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 8), np.uint64)])))
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (s := len(np.intersect1d(sets[i], sets[j]))) and s >= threshold * len(np.union1d(sets[i], sets[j]))}
+    df = spark.createDataFrame([(i, s.view(np.int64).tolist(), i % 7) for i, s in enumerate(sets)], "id bigint, sh array<bigint>, c int")
+    got = {(r["a"], r["b"]) for r in prefix.prefix_pairs(df, threshold, {"c": "int"}, F.lit(True), lambda x, y: F.lit(True)).collect()}
+    assert want <= got and len(want) > 40
+    apart = {(r["a"], r["b"]) for r in prefix.prefix_pairs(df, threshold, {"c": "int"}, F.min("c") != F.max("c"), lambda x, y: F.col(x + "c") != F.col(y + "c")).collect()}
+    assert apart == {(a, b) for a, b in got if a % 7 != b % 7}
+
+
 def brute_links(rows, threshold, min_words, k=5):
     sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for i, t in rows if len(w := S.WORD.findall(t.lower())) >= min_words}
     n = dict.fromkeys(sets, 0)
@@ -106,7 +153,8 @@ def test_hot_bucket_counts_all_links(spark, monkeypatch, block_rows):
     base = words(120, 5)
     rows = [" ".join(edited(base, 1 + i % 3, i)) for i in range(150)] + [" ".join(edited(base, 9, 1000 + i)) for i in range(20)] + [" ".join(words(120, 100 + i)) for i in range(100)]
     rows = list(enumerate(rows, 1))
-    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", threshold=0.8, dense=8)
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = neardup.link_counts(neardup.near_duplicate_groups(df, "id", "text", threshold=0.8, dense=8), df, "id", "text")
     assert {r["id"]: r["n_links"] for r in got.collect()} == brute_links(rows, 0.8, 5)
 
 
@@ -152,6 +200,19 @@ def test_overlap_reasons(articles):
     assert overlap.overlaps(articles.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("dense", [1, 1000])
+def test_overlap_of_templates(spark, dense):
+    """Rows of one template meet in large blocks; the pairs are those of brute force whatever counts as large."""
+    base, rows = words(80, 9), []
+    for i in range(160):
+        text = edited(base, 2, i) if i % 8 == 0 else words(50, 1) + words(60, 20_000 + i // 2)
+        rows.append((i, f"n{i}", None, " ".join(text), "primary", "train" if i % 2 else ("test" if i % 3 else "val"), "o"))
+    sets = {r[0]: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for r in rows for w in [r[3].split()]}
+    want = {(t, e) for t in sets for e in sets if rows[t][5] == "train" != rows[e][5] and len(sets[t] & sets[e]) >= 0.6 * len(sets[t] | sets[e])}
+    got = {(r["t"], r["e"]) for r in overlap.overlaps(spark.createDataFrame(rows, SCHEMA), threshold=0.6, dense=dense).collect()}
+    assert got == want and len(want) >= 60
+
+
 def test_overlap_report(articles):
     got = {(r["reason"], r["split"], r["outlet"]): (r["n_rows"], r["n_hit"], r["n_pairs"]) for r in overlap.overlap_report(articles, 0.6).collect()}
     assert got == {("text", "test", "times"): (1, 1, 1), ("text", "heldout", None): (1, 1, 1), ("id", "val", "b"): (1, 1, 1), ("title", "val", "c"): (2, 1, 1)}
