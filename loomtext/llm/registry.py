@@ -111,27 +111,40 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     return reading.validation(_read(spark, d, "documents"), _read(spark, d, "reading_labels"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _names(spark: SparkSession, d: str):
+    """Rows of linked_entities with their qid, resolved ones in short, the known names, and the habits of the resolved rows."""
     linked = _read(spark, d, "linked_entities").withColumn("known", normal_qid(F.col("qid")))
-    known = linked.where("known is not null").select(F.col("article_no").alias("grp"), F.col("known").alias("qid"))
-    found = names.link_variants(linked.where("known is null"), "link_id", "mention", "article_no", names.known_names(_read(spark, d, "kb_search")), known)
+    resolved = linked.where("known is not null").select(F.col("link_id").alias("id"), F.col("article_no").alias("grp"), names.spelling_of(F.col("mention")).alias("spelling"), F.col("known").alias("qid"))
+    table = scratch.keep(names.known_names(_read(spark, d, "kb_search")), "known")
+    return linked, resolved, table
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    linked, resolved, table = _names(spark, d)
+    habits = names.learn(resolved.select("spelling", "qid"), table)
+    found = names.link_variants(linked.where("known is null"), "link_id", "mention", "article_no", table, resolved.select("grp", "qid"), habits)
     return found.select(F.col("id").alias("link_id"), "qid")
 
 
 def p5_mentions(spark: SparkSession, d: str) -> DataFrame:
     """The mentions behind unresolved rows, by their own text."""
-    linked = _read(spark, d, "linked_entities").withColumn("known", normal_qid(F.col("qid")))
+    linked, resolved, table = _names(spark, d)
     open_rows = linked.where("known is null").select("mention_id").distinct()
     mentions = _read(spark, d, "mentions").join(open_rows, "mention_id", "left_semi")
-    known = linked.where("known is not null").select(F.col("article_no").alias("grp"), F.col("known").alias("qid"))
-    found = names.link_variants(mentions, "mention_id", "text", "article_no", names.known_names(_read(spark, d, "kb_search")), known)
+    found = names.link_variants(mentions, "mention_id", "text", "article_no", table, resolved.select("grp", "qid"), names.learn(resolved.select("spelling", "qid"), table))
     return found.select(F.col("id").alias("mention_id"), "qid", "cost")
 
 
+def p5_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Resolved rows of entities the habits were not learned from."""
+    _, resolved, table = _names(spark, d)
+    return names.held_out(resolved, table)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_groups, p1_links, p3_found, p3_audit, p3_filter, p4_found, p4_report, p5_found, p5_mentions, p6_found, p6_counts, p6_estimates, p7_found, p7_terms,
+        p1_found, p1_groups, p1_links, p3_found, p3_audit, p3_filter, p4_found, p4_report, p5_found, p5_mentions, p5_validation, p6_found, p6_counts, p6_estimates, p7_found, p7_terms,
         p8_pack, p8_fill, p9_uses, p9_shares, p9_checks, p10_found, p10_validation,
     )
 }
