@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,19 +11,28 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash60, uniform
 
 
+class Repetition:
+    """Decides token by token what a sequence keeps, so that repeated pairs stay under a share of the tokens kept."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.last, self.size, self.repeats, self.pairs = threshold, None, 0, 0, set()
+
+    def admits(self, token: str) -> bool:
+        """Whether the token stays. The pair it makes with the last kept token counts either way."""
+        pair = (self.last, token)
+        known = self.size > 0 and pair in self.pairs
+        self.repeats += known
+        if self.size:
+            self.pairs.add(pair)
+        fits = not self.size or self.repeats <= self.threshold * self.size
+        if fits:
+            self.last, self.size = token, self.size + 1
+        return fits
+
+
 def covered(tokens: list[str], threshold: float) -> list[str]:
-    """Tokens without those that would lift the ratio of repeated pairs over the threshold; pairs count even when their token is dropped."""
-    kept: list[str] = []
-    pairs: Counter = Counter()
-    again = 0
-    for token in tokens:
-        if kept:
-            pairs[kept[-1], token] += 1
-            again += pairs[kept[-1], token] > 1
-            if again > threshold * len(kept):
-                continue
-        kept.append(token)
-    return kept
+    """Tokens without those that would lift the ratio of repeated pairs over the threshold."""
+    return list(filter(Repetition(threshold).admits, tokens))
 
 
 def coverage_filter(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -53,8 +61,13 @@ def synonym_replace(tokens: DataFrame, synonyms: DataFrame, topics: DataFrame, p
     return rows.select("id", "pos", F.when(swap, F.get("synonyms", F.pmod("_h", F.size("synonyms")).cast("int"))).otherwise(F.col("token")).alias("token"))
 
 
-def augmented(rows: DataFrame, synonyms: DataFrame, topics: DataFrame, prob: float = 0.1, threshold: float = 0.6, seed: int = 1) -> DataFrame:
-    """(id, tokens): synonyms put in, then repetitive tokens dropped; from (id, tokens). Rows without tokens are left out."""
+def augmented(rows: DataFrame, synonyms: DataFrame, topics: DataFrame, prob: float = 0.1, threshold: float = 0.6, seed: int = 1, paraphrase: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, tokens): synonyms put in, then repetitive tokens dropped; from (id, tokens). Rows without tokens are left out.
+
+    `paraphrase` is a hook for a generator: it gets (id, tokens) before that
+    and gives (id, tokens) back; without it the tokens stay as they are.
+    """
+    rows = paraphrase(rows.select("id", "tokens")) if paraphrase else rows
     flat = rows.select("id", F.posexplode("tokens").alias("pos", "token"))
     swapped = synonym_replace(flat, synonyms, topics, prob, seed).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("xs"))
     return coverage_filter(swapped.select("id", F.col("xs.token").alias("tokens")), threshold)

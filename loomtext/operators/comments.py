@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kb
@@ -12,6 +12,15 @@ FLAGGED = "Potential entity-linking concerns for: {}. These are heuristic observ
 CLEAN = "All extracted entities resolve cleanly against Wikidata."
 
 
+def quoted(c: Column) -> Column:
+    """A text in single quotes; in double quotes where it holds single ones and no double ones; backslashes, line breaks, tabs and single quotes inside single quotes are escaped."""
+    out = c
+    for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(plain), F.lit(written))
+    switch = c.contains("'") & ~c.contains('"')
+    return F.when(switch, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def flags(mentions: DataFrame, search: DataFrame, claims: DataFrame, max_flags: int = 5) -> DataFrame:
     """(article_no, pos, text, reason) of flagged mentions, from (article_no, pos, text, label).
 
@@ -24,11 +33,11 @@ def flags(mentions: DataFrame, search: DataFrame, claims: DataFrame, max_flags:
     rows = linked.join(side, F.col("qid") == F.col("_q"), "left").drop("_q")
     record = F.struct("description", F.lit(False).alias("_no_match"))
     clash = F.coalesce(kb.class_mismatch(record, F.col("classes"), F.col("label")), F.lit(False))
-    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     reason = F.when(F.col("qid").isNull(), F.concat(quoted(F.col("text")), F.lit(": no Wikidata match found"))).when(
         clash,
-        F.concat(quoted(F.col("text")), F.lit(" (NER: "), F.col("label"), F.lit(") -> linked to "), quoted(F.coalesce("entity_label", "qid")), F.lit(" ["), F.coalesce("description", F.lit("(no description)")), F.lit("], which does not look like a "), F.col("label")),
-    )
+        F.concat(quoted(F.col("text")), F.lit(" (NER: "), F.col("label"), F.lit(") -> linked to '"), F.coalesce("entity_label", "qid"),
+                 F.lit("' ["), F.coalesce("description", F.lit("(no description)")), F.lit("], which does not look like a "), F.col("label")),
+    )
     w = Window.partitionBy("article_no").orderBy("pos")  # at most 25 mentions an article
     rows = rows.withColumn("reason", reason).withColumn("so_far", F.count("reason").over(w))
     full = F.when(F.col("qid").isNotNull() & (F.col("so_far") >= max_flags), F.col("pos"))

@@ -22,17 +22,22 @@ def permutation(i: int) -> tuple[int, int]:
     return 1 + (i * 48271 + 11) * 69621 % (PRIME - 1), (i * 16807 + 7) * 39373 % PRIME
 
 
-def distinct_texts(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(reps, members): one row per different token sequence with its shingles, and (id, rep) of every document that has any."""
-    rows = docs.select("id", F.concat_ws(" ", X.tokens(F.col("text"), X.ALNUM)).alias("words")).where("words <> ''")
-    rows = rows.select("id", "words", F.md5("words").alias("digest"))
-    reps = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("words").alias("words"))
-    members = rows.select("id", "digest").join(reps.select("digest", "rep"), "digest").select("id", "rep")
-    return reps.select(F.col("rep").alias("id"), X.shingles(F.split("words", " "), k).alias("sh")), members
+def signed_texts(docs: DataFrame, k: int = 5, permutations: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(sigs, members): (id, sig) of one document per different token sequence, and (id, rep) of every document that has any.
+
+    Texts are signed and digested in the row and written once; only digests,
+    ids and signatures are shuffled, never texts.
+    """
+    words = docs.select("id", X.tokens(F.col("text"), X.ALNUM).alias("w")).where(F.size("w") > 0)
+    rows = words.select("id", F.md5(F.concat_ws(" ", "w")).alias("digest"), X.shingles(F.col("w"), k).alias("sh"))
+    signed = scratch.keep(signatures(rows, permutations, ("digest",)), "signed")
+    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"))
+    members = scratch.keep(signed.select("id", "digest").join(reps, "digest").select("id", "rep"), "members")
+    return signed.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "sig"), members
 
 
-def signatures(shingled: DataFrame, permutations: int = 128) -> DataFrame:
-    """(id, sig): per permutation the least hash over the shingles of a document. Hashes are made in the JVM, permutations as matrices on Arrow batches; nothing is shuffled."""
+def signatures(shingled: DataFrame, permutations: int = 128, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried strings, sig): per permutation the least hash over the shingles of a document. Hashes are made in the JVM, permutations as matrices on Arrow batches; nothing is shuffled."""
     pairs = np.array([permutation(i) for i in range(permutations)], np.int64)
     a, b = pairs[:, :1], pairs[:, 1:]
 
@@ -45,10 +50,10 @@ def signatures(shingled: DataFrame, permutations: int = 128) -> DataFrame:
                 h = flat[ends[i] : ends[i + 1]]
                 out[i] = ((h * a + b) % PRIME).min(axis=1)
             sig = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, permutations, dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sig], ["id", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in carry), sig], ["id", *carry, "sig"])
 
-    hashed = shingled.where(F.size("sh") > 0).select("id", F.transform("sh", lambda s: hash32(s) % PRIME).alias("h"))
-    return hashed.mapInArrow(run, "id bigint, sig array<bigint>")
+    hashed = shingled.where(F.size("sh") > 0).select("id", *carry, F.transform("sh", lambda s: hash32(s) % PRIME).alias("h"))
+    return hashed.mapInArrow(run, ", ".join(["id bigint", *(f"{c} string" for c in carry), "sig array<bigint>"]))
 
 
 def share_equal(a: Column, b: Column, permutations: int) -> Column:
@@ -76,8 +81,8 @@ def duplicate_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, permut
     are left out. Two signatures at the threshold meet in some band with a
     probability of 0.99 at 16 bands of 8.
     """
-    reps, members = distinct_texts(docs, k)
-    sigs = scratch.keep(signatures(reps, permutations), "signatures")
+    sigs, members = signed_texts(docs, k, permutations)
+    sigs = scratch.keep(sigs, "signatures")
     one, two = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     est = band_pairs(sigs, bands, rows).join(one, "a").join(two, "b").select("a", "b", share_equal(F.col("sa"), F.col("sb"), permutations).alias("estimate"))
     return est.where(F.col("estimate") >= threshold), members

@@ -11,25 +11,69 @@ from ..functions import text as X
 TOP_RELATIONS = ("P31", "P279", "P17", "P569", "P570", "P27", "P19", "P106", "P159")
 #: Per label, the parts of a description that fit it.
 DESCRIPTION_WORDS = {
-    "PERSON": "person|human|politician|actor|actress|singer|musician|writer|author|poet|artist|athlete|scientist|physicist|chemist|biologist|mathematician|philosopher|engineer|businessman|businessperson|businesswoman|journalist|soldier|general|officer|president|senator|monarch|king|queen|prince|princess|founding father|designer|upholsterer|seamstress|minister|diplomat|lawyer|judge|doctor|physician|nurse|teacher|professor|director|producer|composer|painter|sculptor",
-    "ORG": "organization|organisation|company|corporation|agency|institute|institution|association|society|party|department|ministry|club|non-profit|nonprofit|team|council|committee|school|university|college|consortium|alliance|headquarters|building|office|bureau|service|force|army|navy|air force|coalition|union|federation",
-    "GPE": "country|city|town|village|state|province|capital|republic|kingdom|municipality|county|district|borough|settlement|metropolis|commonwealth|territory|nation|sovereign",
-    "LOC": "mountain|river|lake|ocean|sea|island|continent|forest|desert|valley|peninsula|bay|gulf|strait|region|area|plateau|archipelago|reef",
-    "FAC": "building|structure|airport|stadium|bridge|tunnel|monument|museum|library|hospital|facility|tower|skyscraper|fort|fortress|headquarters|complex|plaza",
-    "EVENT": "war|battle|event|summit|competition|conference|festival|election|olympics|championship|tournament|ceremony|anniversary|revolution",
-    "PRODUCT": "product|vehicle|device|model|software|weapon|aircraft|ship|car|smartphone",
-    "WORK_OF_ART": "film|movie|novel|song|album|book|painting|play|tv series|drama|sculpture|documentary",
-    "LAW": "law|act|amendment|treaty|constitution|convention|statute|code|regulation",
+    "PERSON": (
+        "person", "human", "politician", "actor", "actress", "singer", "musician", "writer", "author", "poet", "artist", "athlete", "scientist",
+        "physicist", "chemist", "biologist", "mathematician", "philosopher", "engineer", "businessman", "businessperson", "businesswoman",
+        "journalist", "soldier", "general", "officer", "president", "senator", "monarch", "king", "queen", "prince", "princess", "founding father",
+        "designer", "upholsterer", "seamstress", "minister", "diplomat", "lawyer", "judge", "doctor", "physician", "nurse", "teacher", "professor",
+        "director", "producer", "composer", "painter", "sculptor",
+    ),
+    "ORG": (
+        "organization", "organisation", "company", "corporation", "agency", "institute", "institution", "association", "society", "party",
+        "department", "ministry", "club", "non-profit", "nonprofit", "team", "council", "committee", "school", "university", "college", "consortium",
+        "alliance", "headquarters", "building", "office", "bureau", "service", "force", "army", "navy", "air force", "coalition", "union",
+        "federation",
+    ),
+    "GPE": (
+        "country", "city", "town", "village", "state", "province", "capital", "republic", "kingdom", "municipality", "county", "district", "borough",
+        "settlement", "metropolis", "commonwealth", "territory", "nation", "sovereign",
+    ),
+    "LOC": (
+        "mountain", "river", "lake", "ocean", "sea", "island", "continent", "forest", "desert", "valley", "peninsula", "bay", "gulf", "strait",
+        "region", "area", "plateau", "archipelago", "reef",
+    ),
+    "FAC": (
+        "building", "structure", "airport", "stadium", "bridge", "tunnel", "monument", "museum", "library", "hospital", "facility", "tower",
+        "skyscraper", "fort", "fortress", "headquarters", "complex", "plaza",
+    ),
+    "EVENT": (
+        "war", "battle", "event", "summit", "competition", "conference", "festival", "election", "olympics", "championship", "tournament",
+        "ceremony", "anniversary", "revolution",
+    ),
+    "PRODUCT": (
+        "product", "vehicle", "device", "model", "software", "weapon", "aircraft", "ship", "car", "smartphone",
+    ),
+    "WORK_OF_ART": (
+        "film", "movie", "novel", "song", "album", "book", "painting", "play", "tv series", "drama", "sculpture", "documentary",
+    ),
+    "LAW": (
+        "law", "act", "amendment", "treaty", "constitution", "convention", "statute", "code", "regulation",
+    ),
 }
 #: Per label, the classes that an entity's P31 is expected to name.
 EXPECTED_CLASSES = {
-    "PERSON": "Q5 Q15632617",
-    "ORG": "Q43229 Q4830453 Q783794 Q22865 Q327333 Q1530705 Q2659904 Q163740 Q484652 Q748019 Q7210356 Q11691 Q11032 Q15265344 Q3918 Q9826 Q1664720 Q31855 Q294163 Q15911314 Q7188",
-    "GPE": "Q6256 Q515 Q3624078 Q3957 Q56061 Q1093829 Q35657 Q1549591 Q5119 Q486972 Q852446 Q1352230",
-    "LOC": "Q17334923 Q35145263",
-    "EVENT": "Q1656682 Q198 Q178561",
-    "WORK_OF_ART": "Q838948 Q11424 Q7725634",
-    "PRODUCT": "Q2424752",
+    "PERSON": (
+        "Q5", "Q15632617",
+    ),
+    "ORG": (
+        "Q43229", "Q4830453", "Q783794", "Q22865", "Q327333", "Q1530705", "Q2659904", "Q163740", "Q484652", "Q748019", "Q7210356", "Q11691",
+        "Q11032", "Q15265344", "Q3918", "Q9826", "Q1664720", "Q31855", "Q294163", "Q15911314", "Q7188",
+    ),
+    "GPE": (
+        "Q6256", "Q515", "Q3624078", "Q3957", "Q56061", "Q1093829", "Q35657", "Q1549591", "Q5119", "Q486972", "Q852446", "Q1352230",
+    ),
+    "LOC": (
+        "Q17334923", "Q35145263",
+    ),
+    "EVENT": (
+        "Q1656682", "Q198", "Q178561",
+    ),
+    "WORK_OF_ART": (
+        "Q838948", "Q11424", "Q7725634",
+    ),
+    "PRODUCT": (
+        "Q2424752",
+    ),
 }
 
 
@@ -90,7 +134,7 @@ def description_fits(record: Column, label: Column) -> Column:
     desc = F.lower(F.coalesce(record["description"], F.lit("")))
     fits = F.lit(True)
     for name, words in DESCRIPTION_WORDS.items():
-        fits = F.when(label == name, desc.rlike(words)).otherwise(fits)
+        fits = F.when(label == name, desc.rlike("|".join(words))).otherwise(fits)
     return F.when(record.isNull() | is_no_match(record), False).otherwise(fits)
 
 
@@ -99,7 +143,7 @@ def class_mismatch(record: Column, classes: Column, label: Column) -> Column:
     clash = F.lit(False)
     for name, expected in EXPECTED_CLASSES.items():
         known = F.size(F.coalesce(classes, F.array().cast("array<string>"))) > 0
-        clash = F.when(label == name, known & ~F.arrays_overlap(classes, F.array(*[F.lit(x) for x in expected.split()]))).otherwise(clash)
+        clash = F.when(label == name, known & ~F.arrays_overlap(classes, F.array(*[F.lit(x) for x in expected]))).otherwise(clash)
     return ~description_fits(record, label) & clash
 
 

@@ -59,6 +59,40 @@ def ontology_nodes(chains: DataFrame, claims: DataFrame, top: str = "MISC") -> D
     return joined.select(F.array_join("p", ".").alias("path"), F.size("p").alias("level"), parent.alias("parent"), F.coalesce("attributes", F.lit("")).alias("attributes"))
 
 
+def all_classes(nodes: DataFrame) -> DataFrame:
+    """(path, level) of the classes of levels 1 to 3."""
+    return nodes.where("level between 1 and 3").select("path", "level")
+
+
+def find_nodes(nodes: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, level, attributes) of the nodes at dotted paths; paths the ontology lacks give no row."""
+    return paths.select(F.col(path).alias("_p")).join(nodes, F.col("_p") == F.col("path")).select(F.col("_p").alias(path), "level", "attributes")
+
+
+def nested(nodes: DataFrame, depth: int = 4) -> DataFrame:
+    """(json): (path, level, parent, attributes) as one nested object of name to level, parent, attributes and children.
+
+    Built from the deepest level up, one aggregation a level; for ontologies that fit one row.
+    """
+    name = F.element_at(F.split("path", r"\."), -1)
+    below = None
+    for level in range(depth, 0, -1):
+        here = nodes.where(F.col("level") == level)
+        here = here.join(below, "path", "left") if below is not None else here.withColumn("children", F.lit(None).cast("string"))
+        attributes = F.to_json(F.filter(F.split("attributes", ","), lambda x: x != ""))
+        parent = F.coalesce(F.to_json(F.array("parent")), F.lit("[null]"))
+        body = F.concat(F.lit('{"name":'), _quoted(name), F.lit(f',"level":{level},"parent":'), F.substring(parent, F.lit(2), F.length(parent) - 2), F.lit(',"attributes":'), attributes, F.lit(',"children":{'), F.coalesce("children", F.lit("")), F.lit("}}"))
+        entries = here.select(F.coalesce("parent", F.lit("")).alias("path"), F.struct(name.alias("name"), F.concat(_quoted(name), F.lit(":"), body).alias("entry")).alias("e"))
+        below = entries.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("e"))["entry"], ",").alias("children"))
+    return below.select(F.concat(F.lit("{"), "children", F.lit("}")).alias("json"))
+
+
+def _quoted(c: Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def neighbour_counts(edges: DataFrame) -> DataFrame:
     """(node, near, within_two): different neighbours, and nodes at most two undirected edges away, from edges (a, b)."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
@@ -99,6 +133,16 @@ def mean_vectors(entities: DataFrame, vectors: DataFrame, dim: int) -> DataFrame
     return means.select("id", F.posexplode(F.array(*[f"m{i}" for i in range(dim)])).alias("dim", "value"))
 
 
+def weighted_mean_vectors(entities: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(id, dim, value): mean of each article's entity vectors weighted by count times given weight, from (id, key, count, given) and (key, vec). Entities without a vector or with a zero one are skipped, zeros where none is left; a null given weight is 1."""
+    joined = entities.join(vectors, "key", "left")
+    useful = F.exists("vec", lambda x: x != 0)
+    w = F.when(useful, F.col("count") * F.coalesce("given", F.lit(1.0)))
+    sums = joined.withColumn("_w", w).groupBy("id").agg(F.sum("_w").alias("_t"), *[F.sum(F.col("_w") * F.col("vec")[i].cast("double")).alias(f"m{i}") for i in range(dim)])
+    values = F.array(*[F.when(F.col("_t") != 0, F.col(f"m{i}") / F.col("_t")).otherwise(0.0) for i in range(dim)])
+    return sums.select("id", F.posexplode(values).alias("dim", "value"))
+
+
 def hashed_vector(key: Column, dim: int, seed: int = 500) -> Column:
     return F.array(*[2 * (hash60(seed + i, key) / F.lit(float(1 << 60))) - 1 for i in range(dim)])
 

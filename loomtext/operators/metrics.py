@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from .ordinals import with_ordinal
 
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
+
 
 def confusion(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, tp, fp, fn, tn, precision, recall, f1, miss_rate, n) from (label, predicted), positive = 1; a ratio over nothing is 0, miss_rate is 1 - recall."""
@@ -40,21 +43,12 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.round((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 9)).alias("auc"))
 
 
-def rouge_n(rows: DataFrame, n: int) -> DataFrame:
-    """(id, f1): overlap of the n-grams, counted with repeats, of the columns predicted and reference; 0 where either has none."""
+def _grams(words: list[str], n: int) -> Counter:
+    return Counter(zip(*(words[i:] for i in range(n))))
 
-    def grams(c: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(X.whole(F.col(c))), r"\s+"), lambda w: w != "")
-        w = rows.select("id", words.alias("w"))
-        none = F.array().cast("array<string>")
-        runs = X.let(F.col("w"), lambda x: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), " "))).otherwise(none))
-        return w.select("id", F.explode(runs).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
 
-    p, r = grams("predicted"), grams("reference")
-    both = p.withColumnRenamed("c", "cp").join(r.withColumnRenamed("c", "cr"), ["id", "g"], "full")
-    s = both.groupBy("id").agg(F.sum(F.coalesce(F.least("cp", "cr"), F.lit(0)) * F.when(F.col("cp").isNotNull() & F.col("cr").isNotNull(), 1).otherwise(0)).alias("m"), F.coalesce(F.sum("cp"), F.lit(0)).alias("np"), F.coalesce(F.sum("cr"), F.lit(0)).alias("nr"))
-    f1 = F.when((F.col("m") > 0), 2 * F.col("m") / (F.col("np") + F.col("nr"))).otherwise(0.0)
-    return rows.select("id").join(s.select("id", f1.alias("f1")), "id", "left").select("id", F.coalesce("f1", F.lit(0.0)).alias("f1"))
+def _f1(shared: int, p: int, r: int) -> float:
+    return 2 * shared / (p + r) if shared else 0.0
 
 
 def _common(a: list[str], b: list[str]) -> int:
@@ -69,18 +63,35 @@ def _common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _lcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for p, r in zip(b.column("predicted").to_pylist(), b.column("reference").to_pylist()):
-            x, y = (p or "").lower().split(), (r or "").lower().split()
-            out.append(2 * _common(x, y) / (len(x) + len(y)) if x and y else 0.0)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], ["id", "f1"])
+            x, y = (_BLANK.sub(" ", t or "").lower().split(" ") for t in (p, r))
+            x, y = [w for w in x if w], [w for w in y if w]
+            f = [_f1(sum((_grams(x, n) & _grams(y, n)).values()), len(x) - n + 1, len(y) - n + 1) for n in (1, 2)]
+            out.append((*f, _f1(_common(x, y), len(x), len(y))))
+        cols = list(zip(*out)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.float64()) for c in cols)], ["id", "rouge1", "rouge2", "rougeL"])
+
+
+def rouge(rows: DataFrame) -> DataFrame:
+    """(id, rouge1, rouge2, rougeL): F1 of the columns predicted and reference by words, word pairs and longest common subsequence.
+
+    Grams are counted with repeats; 0 where either side has none, null reads as
+    empty. All three are made inside the row, nothing is shuffled.
+    """
+    return rows.select("id", "predicted", "reference").mapInArrow(_overlaps, "id bigint, rouge1 double, rouge2 double, rougeL double")
+
+
+def rouge_n(rows: DataFrame, n: int) -> DataFrame:
+    """(id, f1) of words (n = 1) or word pairs (n = 2)."""
+    return rouge(rows).select("id", F.col(f"rouge{n}").alias("f1"))
 
 
 def rouge_l(rows: DataFrame) -> DataFrame:
     """(id, f1) by the longest common subsequence of words."""
-    return rows.select("id", "predicted", "reference").mapInArrow(_lcs, "id bigint, f1 double")
+    return rouge(rows).select("id", F.col("rougeL").alias("f1"))
 
 
 def majority(rows: DataFrame) -> DataFrame:

@@ -200,8 +200,8 @@ def _rouge(n: int) -> str:
     ro as (select id, coalesce(f1, 0.0) as f1 from docs left join rg using (id))"""
 
 
-_FITS = "case " + " ".join(f"when label = '{k}' then regexp_matches(lower(coalesce(rec.description, '')), '{w}')" for k, w in kb.DESCRIPTION_WORDS.items()) + " else true end"
-_CLASH = "case " + " ".join(f"when label = '{k}' then coalesce(len(c), 0) > 0 and not list_has_any(c, ['{w.replace(' ', chr(39) + ',' + chr(39))}'])" for k, w in kb.EXPECTED_CLASSES.items()) + " else false end"
+_FITS = "case " + " ".join(f"when label = '{k}' then regexp_matches(lower(coalesce(rec.description, '')), '{'|'.join(w)}')" for k, w in kb.DESCRIPTION_WORDS.items()) + " else true end"
+_CLASH = "case " + " ".join(f"when label = '{k}' then coalesce(len(c), 0) > 0 and not list_has_any(c, {list(w)})" for k, w in kb.EXPECTED_CLASSES.items()) + " else false end"
 
 QUERIES = {
     f.__name__: f

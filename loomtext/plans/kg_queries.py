@@ -12,6 +12,8 @@ from .corpus_queries import _CLEAN, _MENTIONS, article_mentions
 from .tables import LINKED, claims, linked, read
 
 DIM = 64
+#: Labels of mentions that are linked.
+LINK_LABELS = ("PERSON", "ORG", "GPE", "LOC", "EVENT", "PRODUCT", "NORP", "FAC", "WORK_OF_ART", "LAW")
 
 
 def _record() -> list:
@@ -54,9 +56,9 @@ def description_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Per cached mention and label, of all its lines in file order, the first whose description fits the label, else the first."""
+    """Per cached mention and label of the mentions, of all its lines in file order, the first whose description fits the label, else the first."""
     lines = read(spark, d, "kb_search").where("mention is not null").groupBy(F.lower("mention").alias("key")).agg(F.array_sort(F.collect_list(F.struct("line_no", "record"))).alias("xs"))
-    labels = F.explode(F.array(*[F.lit(x) for x in ("PERSON", "ORG", "GPE", "LOC")]))
+    labels = F.explode(F.array(*[F.lit(x) for x in LINK_LABELS]))
     rows = lines.select("key", F.col("xs.record").alias("cands"), labels.alias("label"))
     best = rows.select("key", "label", kb.best_candidate(F.col("cands"), F.col("label")).alias("record"))
     return best.select("key", "label", "record.qid", "record.description")
@@ -157,6 +159,30 @@ def _entity_vectors(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
 
 
+def kg_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """As kg_encoded, but every mention counts, and entities with cached claims count twice."""
+    rows = linked(spark, d).where("qid rlike '^Q[0-9]+$'").groupBy(F.col("article_no").alias("id"), "qid").agg(F.count("*").alias("count"))
+    known = claims(spark, d).select("qid", F.lit(2.0).alias("given"))
+    rows = rows.join(known, "qid", "left").select("id", (F.substring("qid", 2, 18).cast("bigint") % 1000).alias("key"), "count", F.coalesce("given", F.lit(1.0)).alias("given"))
+    return kg.weighted_mean_vectors(rows, _entity_vectors(spark, d), DIM).withColumn("value", F.round("value", 5))
+
+
+def ontology_classes(spark: SparkSession, d: str) -> DataFrame:
+    """All classes of levels 1 to 3 below the root, by dotted path."""
+    return kg.all_classes(ontology_paths(spark, d))
+
+
+def ontology_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The node of each class path of the crossview built from the claims."""
+    paths = crossview_built(spark, d).select("class_path").distinct()
+    return kg.find_nodes(ontology_paths(spark, d), paths, "class_path")
+
+
+def ontology_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The ontology as one nested JSON object."""
+    return kg.nested(ontology_paths(spark, d))
+
+
 def kg_encoded(spark: SparkSession, d: str) -> DataFrame:
     """Mean vector of each article's different entities; an entity's vector is looked up by the number of its qid modulo 1 000, some have none."""
     ents = kg.article_entities(linked(spark, d)).where("qid rlike '^Q[0-9]+$'").select(F.col("article_no").alias("id"), (F.substring("qid", 2, 18).cast("bigint") % 1000).alias("key"))
@@ -177,7 +203,7 @@ def transe_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 def transe_vectors(spark: SparkSession, d: str) -> DataFrame:
     t = kb.claim_rows(claims(spark, d)).select(F.col("qid").alias("h"), F.col("property").alias("r"), F.col("value").alias("t"))
-    return transe.train(t).select("kind", "key", F.size("vec").alias("dim"))
+    return transe.train(t).select("kind", "key", F.posexplode("vec").alias("dim", "value"))
 
 
 def mention_label_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -202,8 +228,11 @@ def _next_sql(c: str, visited: str) -> str:
 _CHAIN = f"""h1 as (select qid, {_next_sql('claims', 'qid')} as c1 from kb_claims),
 h2 as (select h1.*, {_next_sql('k.claims', 'h1.qid, c1')} as c2 from h1 left join kb_claims k on k.qid = c1),
 chain as (select h2.*, {_next_sql('k.claims', "h2.qid, c1, coalesce(c2, '')")} as c3 from h2 left join kb_claims k on k.qid = c2)"""
-_FITS = "case " + " ".join(f"when m.label = '{k}' then regexp_matches(lower(coalesce(record.description, '')), '{w}')" for k, w in kb.DESCRIPTION_WORDS.items()) + " else true end"
-_CLASH = "case " + " ".join(f"when m.label = '{k}' then not list_has_any(k.claims['P31'], ['{w.replace(' ', chr(39) + ',' + chr(39))}'])" for k, w in kb.EXPECTED_CLASSES.items()) + " else false end"
+_ONTOLOGY = f"""{_CHAIN}, p as (select qid, list_filter(['MISC', c1, c2, c3], lambda c: c is not null) as p from chain), n as (select distinct p[1:i] as p from p, range(1, 5) r(i) where i <= len(p)),
+        k as (select p, unnest(map_keys(claims)) as k from p join kb_claims using (qid)), a as (select p, string_agg(distinct k, ',' order by k) as attributes from k group by p),
+        o as (select array_to_string(n.p, '.') as path, len(n.p) as level, case when len(n.p) > 1 then array_to_string(n.p[1:len(n.p) - 1], '.') end as parent, coalesce(attributes, '') as attributes from n left join a on n.p = a.p)"""
+_FITS = "case " + " ".join(f"when m.label = '{k}' then regexp_matches(lower(coalesce(record.description, '')), '{'|'.join(w)}')" for k, w in kb.DESCRIPTION_WORDS.items()) + " else true end"
+_CLASH = "case " + " ".join(f"when m.label = '{k}' then not list_has_any(k.claims['P31'], {list(w)})" for k, w in kb.EXPECTED_CLASSES.items()) + " else false end"
 _DIMS = f"range({DIM}) r(i)"
 _CENT = f"cent as (select label, i as dim, count(*) as n, avg(embedding[i + 1]::double) as c from embeddings, {_DIMS} group by label, i)"
 _VEC = lambda c, i: f"(2 * (cast('0x' || substr(md5((500 + {i}) || '|' || {c}), 1, 15) as bigint) / 1152921504606846976.0::double) - 1)"
@@ -214,7 +243,7 @@ QUERIES = {
     for f in (
         kb_last_write_wins, kb_stats, kb_purged, link_mentions, link_prioritised, offline_link_counters, description_checks, best_candidates, entity_triples, claims_filtered, claims_all, cache_wanted,
         qid_batches, kg_triples, kg_member_of, kg_relations, kg_article_entities, kg_entity_index, class_chain, ontology_paths, crossview_built, entities_by_class,
-        kg_neighbours_2hop, article_star_edges, class_centroids, membership_refined, membership_loss, kg_encoded, transe_scores, transe_negatives, transe_vectors, mention_label_rows,
+        kg_neighbours_2hop, article_star_edges, ontology_classes, ontology_lookup, ontology_nested, kg_weighted, class_centroids, membership_refined, membership_loss, kg_encoded, transe_scores, transe_negatives, transe_vectors, mention_label_rows,
     )
 }
 
@@ -227,7 +256,7 @@ ORACLE = {
     "offline_link_counters": f"with {_LINK} select count(*) filter (cache_hit) as hits, count(*) filter (not cache_hit) as misses, count(rec.qid) as resolved from ln",
     "description_checks": f"""with {_CLEAN}, {_LAST}, m as (select distinct lower(clean) as key, label from clean join mentions using (mention_id) where text is not null and label is not null), s as (select m.key, m.label, record is not null and not {_NM} and {_FITS} as fits, len(k.claims['P31']) > 0 and {_CLASH} as clash from m join lw using (key) left join kb_claims k on k.qid = record.qid)
         select key, label, fits, coalesce(not fits and clash, false) as clash from s""",
-    "best_candidates": f"""with m as (select lower(mention) as key, line_no, record, label from kb_search, (select unnest(['PERSON', 'ORG', 'GPE', 'LOC']) as label) where mention is not null),
+    "best_candidates": f"""with m as (select lower(mention) as key, line_no, record, label from kb_search, (select unnest({list(LINK_LABELS)}) as label) where mention is not null),
         b as (select key, label, arg_min(record, (case when not {_NM} and ({_FITS.replace('m.label', 'label')}) then 0 else 1 end) * 1000000000 + line_no) as r from m group by key, label) select key, label, r.qid as qid, r.description as description from b""",
     "entity_triples": f"with {_CLAIMS}, e as (select qid, count(distinct property) as n_relations, count(*) as n_values from cl group by qid) select e.qid, n_relations, n_values, class_path from e left join crossview using (qid)",
     "claims_filtered": f"with {_CLAIMS} select * from cl where property in ('{_TOP}')",
@@ -240,9 +269,13 @@ ORACLE = {
     "kg_article_entities": f"with {LINKED}, f as (select article_no, qid, min(link_id) as first from linked where qid is not null group by all) select article_no, row_number() over (partition by article_no order by first) as pos, qid from f",
     "kg_entity_index": f"with {_TRIPLES}, {_NUMBERED} select entity, ordinal from num",
     "class_chain": f"with {_CHAIN} select qid, c1, c2, c3 from chain",
-    "ontology_paths": f"""with {_CHAIN}, p as (select qid, list_filter(['MISC', c1, c2, c3], lambda c: c is not null) as p from chain), n as (select distinct p[1:i] as p from p, range(1, 5) r(i) where i <= len(p)),
-        o as (select p, unnest(map_keys(claims)) as k from p join kb_claims using (qid)), a as (select p, string_agg(distinct k, ',' order by k) as attributes from o group by p)
-        select array_to_string(n.p, '.') as path, len(n.p) as level, case when len(n.p) > 1 then array_to_string(n.p[1:len(n.p) - 1], '.') end as parent, coalesce(attributes, '') as attributes from n left join a on n.p = a.p""",
+    "ontology_paths": f"with {_ONTOLOGY} select * from o",
+    "ontology_classes": f"with {_ONTOLOGY} select path, level from o where level between 1 and 3",
+    "ontology_lookup": f"with {_ONTOLOGY} select class_path, level, attributes from (select distinct concat_ws('.', 'MISC', c1, c2) as class_path from chain) join o on path = class_path",
+    "kg_weighted": f"""with {LINKED}, a as (select article_no as id, qid, count(*) * case when qid in (select qid from kb_claims) then 2.0::double else 1.0::double end as w from linked where regexp_full_match(qid, 'Q[0-9]+') group by all),
+        v as (select id, w, embedding from a left join embeddings on vec_id = cast(substr(qid, 2) as bigint) % 1000),
+        u as (select id, case when len(list_filter(embedding, lambda x: x <> 0)) > 0 then w end as w, embedding from v)
+        select id, i as dim, round(coalesce(sum(w * embedding[i + 1]::double) / sum(w), 0), 5) as value from u, {_DIMS} group by id, i""",
     "crossview_built": f"with {_CHAIN} select qid, concat_ws('.', 'MISC', c1, c2) as class_path from chain",
     "entities_by_class": "select class_path, count(*) as n, min(qid) as first_qid from crossview group by 1",
     "kg_neighbours_2hop": f"""with {_CLAIMS}, e as (select qid as a, value as b from cl where regexp_full_match(value, 'Q[0-9]+')), u as (select a, b from e where a <> b union select b, a from e where a <> b),

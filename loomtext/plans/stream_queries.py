@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from .tables import DOCS, TOKENS
 
 
 def _places(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = f"{scratch.base_dir(spark)}/loomtext-{name}-{uuid.uuid4().hex[:12]}"
+    base = scratch.folder(spark, name)
     return f"{base}/store", f"{base}/checkpoint"
 
 
@@ -29,7 +27,7 @@ def stream_cms(spark: SparkSession, d: str) -> DataFrame:
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily windows of the events; complete mode, so the last window is there too."""
     store, checkpoint = _places(spark, "events")
-    windows = S.event_windows(S.stream_table(spark, f"{d}/events.parquet"), late="3650 days")
+    windows = S.event_windows(S.stream_table(spark, f"{d}/events.parquet"), late="1 hour")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(store)

@@ -14,7 +14,7 @@ DIM = 4
 
 
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
-    sigs = dedup.signatures(dedup.distinct_texts(docs(spark, d))[0], PERMS)
+    sigs, _ = dedup.signed_texts(docs(spark, d), permutations=PERMS)
     return sigs.select("id", F.posexplode("sig").alias("perm", "value"))
 
 
