@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -115,6 +116,22 @@ def name_mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(_offsets, "id bigint, pos int, text string, label string, start int, end int")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, tokens, n = [], [], []
+        for i, t in zip(b.column("id").to_pylist(), b.column("tokens").to_pylist()):
+            found = Counter(t or ())
+            ids += [i] * len(found)
+            tokens += found.keys()
+            n += found.values()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string()), pa.array(n, pa.int64())], ["id", "token", "n"])
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(id, token, n): how often each token is in each row of (id, tokens), counted inside the row."""
+    return rows.select("id", "tokens").mapInArrow(_counted, "id bigint, token string, n bigint")
+
+
 def label_flag(value: Column, positive: str | int) -> Column:
     """1 where the label is the positive one: strings trimmed and upper-cased, numbers as whole numbers; null stays null."""
     if isinstance(positive, str):

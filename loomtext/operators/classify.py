@@ -30,6 +30,13 @@ def train_and_score(docs: DataFrame, features: int = 1 << 18, iterations: int =
     return model.transform(docs).select("id", "split", "label", vector_to_array("probability")[1].alias("score"))
 
 
+def history(docs: DataFrame, features: int = 1 << 18, iterations: int = 200) -> DataFrame:
+    """(run, epoch, loss): the training loss of each iteration of the classifier's fit, epoch 0 before the first."""
+    model = pipeline(features, iterations).fit(docs.where("split = 'train' and label is not null"))
+    losses = model.stages[-1].summary.objectiveHistory
+    return docs.sparkSession.createDataFrame([("hashing_logreg", i, float(x)) for i, x in enumerate(losses)], "run string, epoch bigint, loss double")  # one row an iteration
+
+
 def masked(vec: str, mode: str, keeps: tuple[str, ...]):
     """The vector, or zeros of its size where the ablation mode leaves it out."""
     return F.col(vec) if mode in keeps else F.transform(F.col(vec), lambda _: F.lit(0.0))

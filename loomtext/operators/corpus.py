@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text as X
 from ..functions.hashing import hash60
 from .ordinals import with_ordinal
@@ -27,22 +28,36 @@ def ranked(counts: DataFrame, item: str, n: str, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(n), F.asc(item))))
 
 
+def median_of_counts(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """(median): the value at position total div 2 of the values repeated n times."""
+    running = counts.select(F.col(value).alias("v"), F.col(n).alias("c")).withColumn("through", F.sum("c").over(Window.orderBy("v")))  # one row per distinct value
+    total = counts.agg(F.sum(n).alias("n"))
+    return running.join(F.broadcast(total), F.col("through") > F.floor(F.col("n") / 2)).agg(F.min("v").alias("median"))
+
+
 def upper_median(values: DataFrame, col: str) -> DataFrame:
     """(median): the value at position n div 2 of the sorted values, found through their counts."""
-    counts = values.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
-    running = counts.withColumn("through", F.sum("c").over(Window.orderBy("v")))  # one row per distinct value
-    total = counts.agg(F.sum("c").alias("n"))
-    return running.join(F.broadcast(total), F.col("through") > F.floor(F.col("n") / 2)).agg(F.min("v").alias("median"))
+    return median_of_counts(values.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n")), col, "_n")
 
 
 def corpus_stats(docs: DataFrame, pattern: str = X.WORDS) -> DataFrame:
-    """One row: documents, tokens, unique tokens, mean, upper median, least and most tokens; zeros for no documents."""
-    lengths = docs.select(F.size(X.tokens(F.col("text"), pattern)).alias("len"))
-    sums = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("n_tokens"), F.coalesce(F.min("len"), F.lit(0)).alias("min_len"), F.coalesce(F.max("len"), F.lit(0)).alias("max_len"))
-    unique = token_counts(docs, pattern).agg(F.count("*").alias("n_unique"))
+    """One row: documents, tokens, unique tokens, mean, upper median, least and most tokens; zeros for no documents.
+
+    One scan: each document gives its terms with their counts, and one row
+    with its length; both are counted up together, so what is left to look at
+    is one row per term and one per length.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), X.tokens(F.col("text"), pattern).alias("t"))
+    length = F.concat(F.lit(" "), F.size("t").cast("string"))
+    per = X.term_counts(rows.select("id", F.array_append("t", length).alias("tokens")))
+    counts = scratch.keep(per.groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    lengths = counts.where(F.col("token").startswith(" ")).select(F.substring("token", 2, 20).cast("int").alias("len"), "n")
+    terms = counts.where(~F.col("token").startswith(" ")).agg(F.count("*").alias("n_unique"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = lengths.agg(zero(F.sum("n")).alias("n_docs"), zero(F.sum(F.col("len") * F.col("n"))).alias("n_tokens"), zero(F.min("len")).alias("min_len"), zero(F.max("len")).alias("max_len"))
     one = lambda df: df.withColumn("one", F.lit(1))
-    out = one(sums).join(one(unique), "one").join(one(upper_median(lengths, "len")), "one").drop("one")
-    return out.withColumn("mean_len", F.round(F.coalesce(F.col("n_tokens") / F.nullif("n_docs", F.lit(0)), F.lit(0.0)), 6)).withColumn("median", F.coalesce("median", F.lit(0)))
+    out = one(sums).join(one(terms), "one").join(one(median_of_counts(lengths, "len", "n")), "one").drop("one")
+    return out.withColumn("mean_len", F.round(zero(F.col("n_tokens") / F.nullif("n_docs", F.lit(0))) * 1.0, 6)).withColumn("median", zero(F.col("median")))
 
 
 def label_stats(docs: DataFrame) -> DataFrame:

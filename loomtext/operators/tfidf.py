@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -12,14 +14,13 @@ from ..functions.hashing import hash60
 def idf(docs: DataFrame, min_df: int = 2, max_df: float = 0.95, max_features: int = 50_000) -> DataFrame:
     """(token, df, idf): smoothed inverse document frequency of the tokens in min_df documents to a share of max_df, the most frequent max_features of them.
 
-    df is counted on tokens made distinct inside each document, so nothing but
-    (token, 1) moves and is combined map-side. Ties at the limit go by token.
+    Tokens are counted once per document in one scan; both counts are sums of
+    that. Ties at the limit go by token.
     """
     n = docs.count()
-    words = F.array_distinct(X.tokens(X.ascii_only(F.col("text")), X.TERMS))
-    term = docs.select(F.explode(X.tokens(X.ascii_only(F.col("text")), X.TERMS)).alias("token")).groupBy("token").agg(F.count("*").alias("tf"))
-    df = docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    kept = df.join(term, "token").orderBy(F.desc("tf"), "token").limit(max_features)
+    per = X.term_counts(docs.select("id", X.tokens(X.ascii_only(F.col("text")), X.TERMS).alias("tokens")))
+    df = per.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    kept = df.orderBy(F.desc("tf"), "token").limit(max_features)
     return kept.select("token", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -43,9 +44,43 @@ def padded(encoded: DataFrame, length: int) -> DataFrame:
     return rows.select("id", F.size(ids).alias("n"), F.concat(ids, F.array_repeat(F.lit(0), F.lit(length) - F.size(ids))).alias("ids"))
 
 
-def pseudo_vector(token, dim: int):
-    """A vector in [-1, 1) per token from the hash family, for words without a trained one."""
-    return F.array(*[2 * (hash60(100 + i, token) / F.lit(float(1 << 60))) - 1 for i in range(dim)])
+#: Prime modulus of the stand-in vectors, and the multiplier of each of their dimensions.
+PRIME = (1 << 31) - 1
+#: Bytes of a table of word vectors up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def multiplier(i: int) -> int:
+    return 1 + (i * 48271 + 11) * 69621 % (PRIME - 1)
+
+
+def pseudo_vector(token: Column, dim: int) -> Column:
+    """A vector in [-1, 1) per token, for words without a trained one: one hash, and a multiplication modulo a prime for each dimension."""
+    return X.let(hash60(100, token) % PRIME, lambda h: F.array(*[2 * (h * multiplier(i) % PRIME / F.lit(float(PRIME))) - 1 for i in range(dim)]))
+
+
+def with_vectors(rows: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """`rows` (token, ...) with the word's vector (word, vec), or with its stand-in where it has none; `trained` tells which.
+
+    The table of vectors is broadcast while its size allows it, else joined by shuffle.
+    """
+    side = vectors.select(F.col("word").alias("token"), F.transform("vec", lambda x: x.cast("double")).alias("_vec"))
+    small = vectors.count() * (8 * dim + 64) <= BROADCAST_BYTES
+    joined = rows.join(F.broadcast(side) if small else side, "token", "left")
+    return joined.withColumn("trained", F.col("_vec").isNotNull()).withColumn("vec", F.coalesce("_vec", pseudo_vector(F.col("token"), dim))).drop("_vec")
+
+
+def encode_spans(rows: DataFrame, encoder: Callable[[DataFrame], DataFrame], dim: int) -> DataFrame:
+    """(id, dim, value): mean vector of the sentences of each document, from (id, sentences).
+
+    All sentences of all documents go to the encoder in one flat table of
+    different ones (sentence) and come back as (sentence, vec); each document is
+    the mean over its own span. Documents without sentences give zeros.
+    """
+    flat = rows.select("id", F.posexplode_outer("sentences").alias("pos", "sentence"))
+    encoded = encoder(flat.select("sentence").where("sentence is not null").distinct())
+    means = flat.join(encoded, "sentence", "left").groupBy("id").agg(*[F.coalesce(F.avg(F.col("vec")[i].cast("double")), F.lit(0.0)).alias(f"m{i}") for i in range(dim)])
+    return means.select("id", F.posexplode(F.array(*[f"m{i}" for i in range(dim)])).alias("dim", "value"))
 
 
 def weighted_vectors(weighted: DataFrame, dim: int) -> DataFrame:

@@ -129,13 +129,15 @@ def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bloom_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Size of the filter and its rates of true and false positives, the latter on 500 invented ids."""
+    """Size of the filter, its rates of true and false positives, the latter on 500 invented ids, and its kilobytes beside those of a plain set at 24 bytes an entry."""
     members, filter_bits, n, bits, hashes = _bloom(spark, d)
     negatives = spark.range(500).select(F.concat(F.lit("QNOTREAL"), F.col("id").cast("string")).alias("item"))
     probes = members.withColumn("member", F.lit(True)).union(negatives.withColumn("member", F.lit(False)))
     hits = sketches.bloom_contains(filter_bits, probes, bits, hashes).join(probes, "item")
     rate = lambda m: F.round(F.avg(F.when(F.col("member") == m, F.col("maybe").cast("int"))), 9)
-    return hits.agg(rate(True).alias("tpr"), rate(False).alias("fpr")).select(F.lit(n).cast("bigint").alias("n_items"), F.lit(bits).cast("bigint").alias("n_bits"), F.lit(hashes).cast("bigint").alias("n_hashes"), "tpr", "fpr")
+    plain, own = n * 24 / 1024, bits / 8 / 1024
+    sizes = [F.lit(round(x, 6)).alias(c) for c, x in (("filter_kb", own), ("set_kb", plain), ("compression", n * 24 / max(own * 1024, 1)))]
+    return hits.agg(rate(True).alias("tpr"), rate(False).alias("fpr")).select(F.lit(n).cast("bigint").alias("n_items"), F.lit(bits).cast("bigint").alias("n_bits"), F.lit(hashes).cast("bigint").alias("n_hashes"), "tpr", "fpr", *sizes)
 
 
 def entity_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +259,8 @@ ORACLE = {
         select item, bool_and(cast('0x' || substr(md5(i || '|' || item), 1, 15) as bigint) % bits in (select bit from bit)) as maybe from p, size, range(20) r(i) where i < hashes group by item""",
     "bloom_stats": f"""with {_BLOOM}, p as (select item, true as member from item union all select 'QNOTREAL' || i, false from range(500) r(i)),
         m as (select member, item, bool_and(cast('0x' || substr(md5(i || '|' || item), 1, 15) as bigint) % bits in (select bit from bit)) as maybe from p, size, range(20) r(i) where i < hashes group by all)
-        select any_value(n) as n_items, any_value(bits) as n_bits, any_value(hashes) as n_hashes, round(avg(cast(maybe as int)) filter (member), 9) as tpr, round(avg(cast(maybe as int)) filter (not member), 9) as fpr from m, size""",
+        select any_value(n) as n_items, any_value(bits) as n_bits, any_value(hashes) as n_hashes, round(avg(cast(maybe as int)) filter (member), 9) as tpr, round(avg(cast(maybe as int)) filter (not member), 9) as fpr,
+          round(any_value(bits) / 8 / 1024, 6) as filter_kb, round(any_value(n) * 24 / 1024, 6) as set_kb, round(any_value(n) * 24 / greatest(any_value(bits) / 8, 1), 6) as compression from m, size""",
     "entity_frequency": f"with {LINKED} select coalesce(label, qid) as entity, count(*) as n, row_number() over (order by count(*) desc, coalesce(label, qid)) as rank from linked where qid is not null group by 1 order by n desc, entity limit 30",
     "link_counters": f"with {LINKED} select count(qid) as resolved, count(*) - count(qid) as unresolved, count(distinct qid) as n_entities, round(count(qid) / greatest(count(*), 1), 9) as share from linked",
     "mention_frequency": f"with {_CLEAN} select clean as mention, count(*) as n, row_number() over (order by count(*) desc, clean) as rank from clean where length(clean) >= 2 and not regexp_full_match(clean, '[0-9]+') group by clean order by n desc, clean limit 8000",

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import text as X
-from ..operators import augment, classify, comments, kb, kg, metrics, textrank
+from ..operators import augment, classify, comments, kb, kg, metrics, textrank, tfidf
 from .corpus_queries import _MENTIONS, article_mentions
 from .kg_queries import DIM, _CLEAN, _LAST, _NM, kg_encoded
 from .tables import DOCS, LINKED, claims, docs, linked, read
-from .text_queries import _WEIGHTED, doc_text_vectors
+from .text_queries import _TOKEN_VECTORS, _VOCAB, _WEIGHTED, doc_text_vectors
 from .text_queries import DIM as TEXT_DIM
 
 
@@ -51,13 +51,14 @@ def rouge2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.rouge_l(_titles(spark, d))
+    return metrics.rouge_l(_titles(spark, d)).withColumn("f1", F.round("f1", 9))
 
 
 def rouge_means(spark: SparkSession, d: str) -> DataFrame:
-    rows = _titles(spark, d)
-    parts = [m.agg(F.lit(n).alias("measure"), F.round(F.avg("f1"), 6).alias("f1")) for n, m in (("rouge1", metrics.rouge_n(rows, 1)), ("rouge2", metrics.rouge_n(rows, 2)))]
-    return parts[0].union(parts[1])
+    """Mean F1 of the three measures, from one pass."""
+    names = ["rouge1", "rouge2", "rougeL"]
+    means = metrics.rouge(_titles(spark, d)).agg(*[F.round(F.avg(n), 6).alias(n) for n in names])
+    return means.unpivot([], names, "measure", "f1")
 
 
 def _models(spark: SparkSession, d: str) -> DataFrame:
@@ -84,10 +85,15 @@ def report_unpivot(spark: SparkSession, d: str) -> DataFrame:
     return model_reports(spark, d).unpivot("model", ["precision", "recall", "f1", "miss_rate"], "metric", "value")
 
 
+MAX_KINDS = 1000
+
+
 def report_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Mean value per day and event type, one column per type."""
+    """Mean value per day and event type, one column per type; more than MAX_KINDS types raise ValueError."""
     e = read(spark, d, "events").select(F.to_date("ts").alias("day"), "event_type", "value")
-    kinds = sorted(r[0] for r in e.select("event_type").distinct().limit(1000).collect() if r[0] is not None)
+    kinds = sorted(r[0] for r in e.where("event_type is not null").select("event_type").distinct().limit(MAX_KINDS + 1).collect())
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} event types cannot be columns of one report")
     return e.groupBy("day").pivot("event_type", kinds).agg(F.round(F.avg("value"), 6))
 
 
@@ -133,10 +139,22 @@ def hashing_logreg(spark: SparkSession, d: str) -> DataFrame:
     return classify.train_and_score(docs(spark, d))
 
 
+def hashing_logreg_history(spark: SparkSession, d: str) -> DataFrame:
+    """Loss of each iteration of the classifier's fit, smoothed, and where early stopping would have ended it."""
+    rows = classify.history(docs(spark, d))
+    return rows.join(metrics.smoothed_losses(rows), ["run", "epoch"]).select("run", "epoch", "loss", "ema", "stopped")
+
+
 def hashing_logreg_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusion(hashing_logreg(spark, d).withColumn("predicted", metrics.decided(F.col("score"))), ["split"])
 
 
+def textrank_prior(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords by a walk that starts at the tf-idf weights of the training part."""
+    prior = tfidf.idf(docs(spark, d).where("split = 'train'"))
+    return textrank.textrank(docs(spark, d), prior=prior).select("id", "rank", "keyword", F.round("score", 6).alias("score"))
+
+
 def decision_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of the small network on text and graph vectors, one row per article and ablation mode."""
     wide = feature_matrix(spark, d).groupBy("id", "label").agg(*[F.array_sort(F.collect_list(F.when(F.col("block") == b, F.struct("dim", "value")))).alias(b) for b in ("text", "kg")])
@@ -152,10 +170,10 @@ def ablation_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def augmented_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Titles with given names swapped and repetitions dropped."""
-    rows = docs(spark, d).select("id", X.tokens(F.col("title")).alias("tokens"))
+    """Texts with given names swapped and repetitions dropped."""
+    rows = docs(spark, d).select("id", X.tokens(F.col("text")).alias("tokens"))
     topics = spark.createDataFrame([("the",), ("and",)], "word string")
-    return augment.augmented(rows, augment.synonym_lists(_name_synonyms(spark, d)), topics, 0.5).select("id", F.array_join("tokens", " ").alias("text"))
+    return augment.augmented(rows, augment.synonym_lists(_name_synonyms(spark, d)), topics, 0.5).select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
 
 
 def _name_synonyms(spark: SparkSession, d: str) -> DataFrame:
@@ -170,8 +188,9 @@ def coverage_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synonyms_replaced(spark: SparkSession, d: str) -> DataFrame:
-    """Given names swapped for the other given names of the same surname in the search cache, as a synonym table; tokens of the titles are topics."""
-    toks = docs(spark, d).select("id", F.posexplode(X.tokens(F.col("title"))).alias("pos", "token"))
+    """Given names swapped for the other given names of the same surname in the search cache, as a synonym table, in titles and texts together."""
+    both = X.tokens(F.concat_ws(" ", "title", "text"))
+    toks = docs(spark, d).select("id", F.posexplode(both).alias("pos", "token"))
     topics = spark.createDataFrame([("the",), ("and",)], "word string")
     return augment.synonym_replace(toks, augment.synonym_lists(_name_synonyms(spark, d)), topics, 0.5)
 
@@ -200,14 +219,24 @@ def _rouge(n: int) -> str:
     ro as (select id, coalesce(f1, 0.0) as f1 from docs left join rg using (id))"""
 
 
+#: Longest common subsequence row by row of its table: `row` holds the best length with each prefix of the reference.
+_LCS = f"""{_TITLES}, lc as (
+      select id, p, r, 0 as i, list_transform(range(len(r) + 1), lambda x: 0) as row from pr
+      union all
+      select id, p, r, i + 1, list_transform(range(len(r) + 1), lambda j: case when j = 0 then 0 else list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k + 1], case when p[i + 1] = r[k] then row[k] + 1 else 0 end))) end)
+      from lc where i < len(p)),
+    lo as (select id, case when row[len(r) + 1] > 0 then 2 * row[len(r) + 1] / (len(p) + len(r)) else 0.0 end as f1 from lc where i = len(p))"""
 _FITS = "case " + " ".join(f"when label = '{k}' then regexp_matches(lower(coalesce(rec.description, '')), '{'|'.join(w)}')" for k, w in kb.DESCRIPTION_WORDS.items()) + " else true end"
 _CLASH = "case " + " ".join(f"when label = '{k}' then coalesce(len(c), 0) > 0 and not list_has_any(c, {list(w)})" for k, w in kb.EXPECTED_CLASSES.items()) + " else false end"
 
+_ESCAPED = r"replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+_QUOTED = f"""case when contains(text, '''') and not contains(text, '"') then '"' || {_ESCAPED} || '"' else '''' || replace({_ESCAPED}, '''', '\\''') || '''' end"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         unresolved_scores, confusion_prf, roc_auc, logit_decisions, rouge1, rouge2, rouge_l, rouge_means, majority_vote, model_reports, report_unpivot, report_pivot,
-        smoothed_losses, comment_flags, comment_texts, domain_guard, feature_matrix, ablation_masks, hashing_logreg, hashing_logreg_report, decision_scores, ablation_report, coverage_filtered, synonyms_replaced, augmented_texts,
+        smoothed_losses, comment_flags, comment_texts, domain_guard, feature_matrix, ablation_masks, hashing_logreg, hashing_logreg_history, hashing_logreg_report, textrank_prior, decision_scores, ablation_report, coverage_filtered, synonyms_replaced, augmented_texts,
     )
 }
 
@@ -218,11 +247,13 @@ ORACLE = {
     "logit_decisions": f"with {DOCS}, {_SCORE}, p as (select id, 1 / (1 + exp(-(10 * score - 2))) as p from u) select id, round(p, 6) as probability, cast(p >= 0.5 as int) as predicted from p",
     "rouge1": f"with {DOCS}, {_rouge(1)} select id, round(f1, 9) as f1 from ro",
     "rouge2": f"with {DOCS}, {_rouge(2)} select id, round(f1, 9) as f1 from ro",
-    "rouge_means": f"select 'rouge1' as measure, (with {DOCS}, {_rouge(1)} select round(avg(f1), 6) from ro) as f1 union all select 'rouge2', (with {DOCS}, {_rouge(2)} select round(avg(f1), 6) from ro)",
+    "rouge_l": f"with recursive {DOCS}, {_LCS} select id, round(f1, 9) as f1 from lo",
+    "rouge_means": f"""select 'rouge1' as measure, (with {DOCS}, {_rouge(1)} select round(avg(f1), 6) from ro) as f1 union all select 'rouge2', (with {DOCS}, {_rouge(2)} select round(avg(f1), 6) from ro)
+        union all select 'rougeL', (with recursive {DOCS}, {_LCS} select round(avg(f1), 6) from lo)""",
     "majority_vote": f"with {_VOTES} select id, count(*) as n, cast(sum(predicted) as bigint) as n_fake, case when sum(predicted) > count(*) / 2 then 'FAKE' else 'REAL' end as verdict from v group by id",
     "model_reports": f"with {_VOTES}, {_prf('v', 'model', 4)} select * from rep",
     "report_unpivot": f"with {_VOTES}, {_prf('v', 'model', 4)} select model, unnest(['precision', 'recall', 'f1', 'miss_rate']) as metric, unnest([precision, recall, f1, miss_rate]) as value from rep",
-    "report_pivot": "pivot (select cast(ts as date) as day, event_type, value from events) on event_type using round(avg(value), 6) group by day",
+    "report_pivot": "select cast(ts as date) as day, " + ", ".join(f"round(avg(value) filter (event_type = '{k}'), 6) as {k}" for k in ("click", "error", "purchase", "signup", "view")) + " from events group by 1",
     "smoothed_losses": """with recursive e as (select event_type as run, cast(ts as date) - date '2024-01-01' as epoch, avg(value) as loss from events group by all), o as (select *, row_number() over (partition by run order by epoch) as k from e),
         s as (select run, k, epoch, loss as ema, loss as best, 0 as stale, false as stopped, false as halt from o where k = 1
           union all select o.run, o.k, o.epoch, 0.8::double * ema + 0.2::double * loss, least(best, case when 0.8::double * ema + 0.2::double * loss < best - 0.0001::double then 0.8::double * ema + 0.2::double * loss else best end),
@@ -230,18 +261,18 @@ ORACLE = {
           from s join o on o.run = s.run and o.k = s.k + 1) select run, epoch, round(ema, 6) as ema, stopped from s""",
     "synonyms_replaced": f"""with {DOCS}, w as (select distinct str_split(lower(record.label), ' ')[2] as last, str_split(lower(record.label), ' ')[1] as first from kb_search where record.label is not null and len(str_split(record.label, ' ')) > 1),
         y as (select a.first as word, list_sort(list(distinct b.first)) as syn from w a join w b on a.last = b.last and a.first <> b.first and instr(b.first, '_') = 0 group by 1),
-        t as (select id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as token from (select id, list_transform(regexp_extract_all(title, '[A-Za-z]+'), lambda z: lower(z)) as x from docs)),
+        t as (select id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as token from (select id, list_transform(regexp_extract_all(title || ' ' || text, '[A-Za-z]+'), lambda z: lower(z)) as x from docs)),
         h as (select *, cast('0x' || substr(md5('1|' || id || '|' || pos), 1, 15) as bigint) / 1152921504606846976.0::double as u, cast('0x' || substr(md5('2|' || id || '|' || pos), 1, 15) as bigint) as h from t)
         select id, pos, case when u < 0.5 and token not in ('the', 'and') and len(syn) > 0 then syn[h % len(syn) + 1] else token end as token from h left join y on y.word = token""",
     "comment_flags": f"""with am as ({_MENTIONS}), {_CLEAN}, {_LAST}, l as (select am.*, case when coalesce(record.qid, '') <> '' and not {_NM} then record end as rec from am join clean using (mention_id) left join lw on key = lower(clean)),
         k as (select l.*, claims['P31'] as c from l left join kb_claims on kb_claims.qid = rec.qid),
-        r as (select *, case when rec is null then '''' || text || ''': no Wikidata match found' when not {_FITS} and {_CLASH} then '''' || text || ''' (NER: ' || label || ') -> linked to ''' || coalesce(rec.label, rec.qid) || ''' [' || coalesce(rec.description, '(no description)') || '], which does not look like a ' || label end as reason from k),
+        r as (select *, case when rec is null then {_QUOTED} || ': no Wikidata match found' when not {_FITS} and {_CLASH} then {_QUOTED} || ' (NER: ' || label || ') -> linked to ''' || coalesce(rec.label, rec.qid) || ''' [' || coalesce(rec.description, '(no description)') || '], which does not look like a ' || label end as reason from k),
         o as (select *, count(reason) over (partition by article_no order by pos) as n from r), e as (select *, min(case when rec is not null and n >= 5 then pos end) over (partition by article_no) as stop from o)
         select article_no, pos, text, reason from e where reason is not null and (stop is null or pos <= stop)""",
     "domain_guard": f"with {DOCS}, {LINKED}, e as (select article_no as id, count(distinct qid) as resolved from linked where qid is not null group by 1), t as (select id, len(list_filter(str_split_regex(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\s+'), lambda x: x <> '')) as tokens, coalesce(resolved, 0) as resolved from docs left join e using (id)) select id, tokens, resolved, tokens < 50 as too_short, resolved = 0 as no_entities from t",
     "feature_matrix": None,
 }
-_TEXT_VEC = f"""{_WEIGHTED}, tv as (select token, i as dim, 2 * (cast('0x' || substr(md5((100 + i) || '|' || token), 1, 15) as bigint) / 1152921504606846976.0::double) - 1 as v from (select distinct token from x), range({TEXT_DIM}) r(i)),
+_TEXT_VEC = f"""{_WEIGHTED}, {_VOCAB}, {_TOKEN_VECTORS},
     te as (select id, dim, round(sum(weight * v) / sum(weight), 6) as value from wt join tv using (token) group by id, dim),
     ea as (select distinct article_no as id, qid from linked where regexp_full_match(qid, 'Q[0-9]+')), ev as (select id, embedding from ea left join embeddings on vec_id = cast(substr(qid, 2) as bigint) % 1000),
     ke as (select id, i as dim, round(coalesce(avg(embedding[i + 1]::double), 0), 5) as value from ev, range({DIM}) r(i) group by id, i),

@@ -272,7 +272,8 @@ ORACLE = {
     "ontology_paths": f"with {_ONTOLOGY} select * from o",
     "ontology_classes": f"with {_ONTOLOGY} select path, level from o where level between 1 and 3",
     "ontology_lookup": f"with {_ONTOLOGY} select class_path, level, attributes from (select distinct concat_ws('.', 'MISC', c1, c2) as class_path from chain) join o on path = class_path",
-    "kg_weighted": f"""with {LINKED}, a as (select article_no as id, qid, count(*) * case when qid in (select qid from kb_claims) then 2.0::double else 1.0::double end as w from linked where regexp_full_match(qid, 'Q[0-9]+') group by all),
+    "kg_weighted": f"""with {LINKED}, c as (select article_no as id, qid, count(*) as n from linked where regexp_full_match(qid, 'Q[0-9]+') group by all),
+        a as (select id, c.qid, n * case when k.qid is not null then 2.0::double else 1.0::double end as w from c left join kb_claims k on k.qid = c.qid),
         v as (select id, w, embedding from a left join embeddings on vec_id = cast(substr(qid, 2) as bigint) % 1000),
         u as (select id, case when len(list_filter(embedding, lambda x: x <> 0)) > 0 then w end as w, embedding from v)
         select id, i as dim, round(coalesce(sum(w * embedding[i + 1]::double) / sum(w), 0), 5) as value from u, {_DIMS} group by id, i""",

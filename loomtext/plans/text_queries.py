@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text as X
+from ..functions.hashing import hash60
 from ..operators import dedup, textrank, tfidf
-from .tables import DOCS, docs
+from .corpus_queries import _SENT
+from .tables import DOCS, docs, read
 
 PERMS, BANDS, ROWS, LIMIT = 128, 16, 8, 0.85
-DIM = 4
+DIM = 64
+#: Tokens of a padded sequence.
+LENGTH = 256
 
 
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
@@ -55,10 +60,9 @@ def mean_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, d: str) -> DataFrame:
-    table = tfidf.idf(docs(spark, d).where("split = 'train'")).select("token", "idf")
+    table = scratch.keep(tfidf.idf(docs(spark, d).where("split = 'train'")).select("token", "idf"), "idf")
     mean = table.agg(F.avg("idf")).first()[0] or 1.0
-    toks = docs(spark, d).select("id", F.explode(X.tokens(X.ascii_only(F.col("text")), X.DASHED)).alias("token"))
-    counted = toks.groupBy("id", "token").agg(F.count("*").alias("n"))
+    counted = X.term_counts(docs(spark, d).select("id", X.tokens(X.ascii_only(F.col("text")), X.DASHED).alias("tokens")))
     return counted.join(F.broadcast(table), "token", "left").select("id", "token", (F.col("n") * F.coalesce("idf", F.lit(mean))).alias("weight"))
 
 
@@ -69,10 +73,31 @@ def token_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def doc_text_vectors(spark: SparkSession, d: str) -> DataFrame:
     """tf-idf weighted mean of the words' vectors; sentence means weighted by their sums give the same."""
-    w = _weighted(spark, d).select("id", "weight", tfidf.pseudo_vector(F.col("token"), DIM).alias("vec"))
+    w = tfidf.with_vectors(_weighted(spark, d), _word_vectors(spark, d), DIM)
     return tfidf.weighted_vectors(w, DIM).select("id", "dim", F.round("value", 6).alias("value"))
 
 
+def _word_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Trained vectors of the most frequent words: number n of the vocabulary has the n-th row of the table of vectors."""
+    rows = read(spark, d, "embeddings").select((F.col("vec_id") + 2).alias("token_id"), F.col("embedding").alias("vec"))
+    return vocab_ids(spark, d).join(rows, "token_id").select(F.col("token").alias("word"), "vec")
+
+
+def vector_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the vocabulary, those with a trained vector that is not zero, and their share."""
+    rows = vocab_ids(spark, d).select("token").join(_word_vectors(spark, d).select(F.col("word").alias("token"), F.exists("vec", lambda x: x != 0).alias("useful")), "token", "left")
+    counts = rows.agg(F.count("*").alias("n_words"), F.count(F.when(F.col("useful"), 1)).alias("n_trained"))
+    return counts.withColumn("share", F.round(F.col("n_trained") / F.greatest("n_words", F.lit(1)), 9))
+
+
+def sentence_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean over each article's sentences of the vectors an encoder gives them; the encoder here looks a sentence up by its hash."""
+    rows = docs(spark, d).select("id", F.filter(X.sentences(X.ascii_only(F.col("text"))), lambda s: s != "").alias("sentences"))
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
+    look_up = lambda flat: flat.withColumn("key", hash60(9, F.col("sentence")) % 500).join(vectors, "key").select("sentence", "vec")
+    return tfidf.encode_spans(rows, look_up, DIM).withColumn("value", F.round("value", 5))
+
+
 def _train_tokens(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).where("split = 'train'").select(F.explode(X.tokens(X.ascii_only(F.col("text")), X.DASHED)).alias("token"))
 
@@ -89,8 +114,8 @@ def encoded_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def padded_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """The first 64 token numbers of every article, padded with 0."""
-    out = tfidf.padded(encoded_sequences(spark, d), 64)
+    """The first LENGTH token numbers of every article, padded with 0."""
+    out = tfidf.padded(encoded_sequences(spark, d), LENGTH)
     return out.select("id", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
@@ -130,11 +155,15 @@ idf as (select token, df, ln((1 + n) / (1 + df)) + 1 as idf from dfs, n where df
 _DASHED = r"x as (select id, generate_subscripts(w, 1) - 1 as pos, unnest(w) as token from (select id, list_transform(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '[A-Za-z][A-Za-z\-'']+'), lambda x: lower(x)) as w from docs))"
 _WEIGHTED = f"{DOCS}, {_IDF}, {_DASHED}, wt as (select id, x.token, count(*) * any_value(coalesce(idf, (select avg(idf) from idf))) as weight from x left join idf using (token) group by id, x.token)"
 _VOCAB = "vocab as (select token, count(*) as n, row_number() over (order by count(*) desc, token) + 1 as token_id from x join docs using (id) where split = 'train' group by token having count(*) >= 2 order by n desc, token limit 29998)"
+_MULTIPLIERS = [tfidf.multiplier(i) for i in range(DIM)]
+_TOKEN_VECTORS = f"""hs as (select token, cast('0x' || substr(md5('100|' || token), 1, 15) as bigint) % {tfidf.PRIME} as h from (select distinct token from x)),
+tv as (select token, i as dim, coalesce(embedding[i + 1]::double, 2 * (h * ({_MULTIPLIERS})[i + 1] % {tfidf.PRIME} / {tfidf.PRIME}.0::double) - 1) as v
+  from hs left join vocab using (token) left join embeddings on vec_id = token_id - 2, range({DIM}) r(i))"""
 
 QUERIES = {
     f.__name__: f
     for f in (
-        minhash_signatures, lsh_pairs, dup_clusters, dup_report, dup_sample, exact_dup_groups, idf_table, mean_idf, token_weights, doc_text_vectors,
+        minhash_signatures, lsh_pairs, dup_clusters, dup_report, dup_sample, exact_dup_groups, idf_table, mean_idf, token_weights, doc_text_vectors, vector_coverage, sentence_means,
         vocab_ids, encoded_sequences, padded_sequences, vocab_coverage, cooccurrence_edges, textrank_keywords,
     )
 }
@@ -149,12 +178,15 @@ ORACLE = {
     "idf_table": f"with {DOCS}, {_IDF} select token, df, round(idf, 6) as idf from idf",
     "mean_idf": f"with {DOCS}, {_IDF} select count(*) as n_tokens, round(avg(idf), 6) as mean_idf from idf",
     "token_weights": f"with {_WEIGHTED} select id, count(*) as n_tokens, round(sum(weight), 4) as weight from wt group by id",
-    "doc_text_vectors": f"""with {_WEIGHTED}, tv as (select token, i as dim, 2 * (cast('0x' || substr(md5((100 + i) || '|' || token), 1, 15) as bigint) / 1152921504606846976.0::double) - 1 as v from (select distinct token from x), range({DIM}) r(i))
-        select id, dim, round(sum(weight * v) / sum(weight), 6) as value from wt join tv using (token) group by id, dim""",
+    "doc_text_vectors": f"with {_WEIGHTED}, {_VOCAB}, {_TOKEN_VECTORS} select id, dim, round(sum(weight * v) / sum(weight), 6) as value from wt join tv using (token) group by id, dim",
+    "vector_coverage": f"""with {DOCS}, {_DASHED}, {_VOCAB}, t as (select token, len(list_filter(embedding, lambda z: z <> 0)) > 0 as useful from vocab left join embeddings on vec_id = token_id - 2)
+        select count(*) as n_words, count(*) filter (useful) as n_trained, round(count(*) filter (useful) / greatest(count(*), 1), 9) as share from t""",
+    "sentence_means": f"""with {DOCS}, {_SENT}, f as (select id, unnest(s) as s from sent), e as (select id, embedding from f join embeddings on vec_id = cast('0x' || substr(md5('9|' || s), 1, 15) as bigint) % 500)
+        select docs.id, i as dim, round(coalesce(avg(embedding[i + 1]::double), 0), 5) as value from docs cross join range({DIM}) r(i) left join e on e.id = docs.id group by docs.id, i""",
     "vocab_ids": f"with {DOCS}, {_DASHED}, {_VOCAB} select token, n, token_id from vocab",
     "encoded_sequences": f"with {DOCS}, {_DASHED}, {_VOCAB} select x.id, x.pos, coalesce(token_id, 1) as token_id from x left join vocab using (token) where x.pos < 400 union all select id, 0, 1 from docs where id not in (select id from x)",
-    "padded_sequences": f"""with {DOCS}, {_DASHED}, {_VOCAB}, e as (select x.id, x.pos, coalesce(token_id, 1) as t from x left join vocab using (token) where x.pos < 64 union all select id, 0, 1 from docs where id not in (select id from x)),
-        l as (select id, count(*) as n, list(t order by pos) as ts from e group by id) select id, n, array_to_string(ts || list_transform(range(64 - n), lambda i: 0), ' ') as ids from l""",
+    "padded_sequences": f"""with {DOCS}, {_DASHED}, {_VOCAB}, e as (select x.id, x.pos, coalesce(token_id, 1) as t from x left join vocab using (token) where x.pos < {LENGTH} union all select id, 0, 1 from docs where id not in (select id from x)),
+        l as (select id, count(*) as n, list(t order by pos) as ts from e group by id) select id, n, array_to_string(ts || list_transform(range({LENGTH} - n), lambda i: 0), ' ') as ids from l""",
     "vocab_coverage": f"with {DOCS}, {_DASHED}, {_VOCAB}, u as (select token, count(*) as m from x group by token) select round(sum(m) filter (token_id is not null) / sum(m), 9) as of_tokens, round(count(token_id) / count(*), 9) as of_types from u left join vocab using (token)",
     "cooccurrence_edges": f"with {DOCS}, {_DASHED} select p.id, least(p.token, q.token) as a, greatest(p.token, q.token) as b, count(*) as weight from x p join x q on p.id = q.id and q.pos between p.pos + 1 and p.pos + 4 and p.token <> q.token group by all",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as X
 from loomtext.functions.hashing import hash60
-from loomtext.operators import augment, classify, comments, corpus, dedup, kb, kg, metrics, sketches, textrank, tfidf
+from loomtext.operators import augment, classify, comments, corpus, dedup, kb, kg, metrics, sketches, textrank, tfidf, transe
 from loomtext.operators.components import connected_components
 from loomtext.operators.ordinals import with_ordinal
 from loomtext.plans import eval_queries
@@ -135,6 +135,8 @@ def test_idf_and_vocabulary(spark):
 
 def test_textrank():
     assert textrank.rank_tokens(["aa", "bb", "aa"], 4, 20, 0.85) == [("aa", 0.5), ("bb", 0.5)]
+    drawn = dict(textrank.rank_tokens(["aa", "bb", "cc", "dd"], 1, 1, 0.85, {"aa": 5.0}))
+    assert drawn["bb"] > drawn["cc"]  # one step from a start that favours aa
     assert textrank.rank_tokens(["aa", "aa"], 4, 20, 0.85) == [] and textrank.rank_tokens([], 4, 20, 0.85) == []
 
 
@@ -197,6 +199,71 @@ def test_common_subsequence(a, b):
     assert metrics._common(a, b) == table[-1][-1]
 
 
+def test_measures_of_overlap_shuffle_nothing(spark):
+    rows = spark.createDataFrame([(1, "a b a", "a a b"), (2, None, "x"), (3, "\t", "")], "id bigint, predicted string, reference string")
+    for df in (metrics.rouge_n(rows, 2), metrics.rouge_l(rows), textrank.cooccurrence(rows.select("id", F.col("predicted").alias("text")))):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(round(x, 4) for x in r) for r in metrics.rouge(rows).orderBy("id").collect()] == [(1, 1.0, 0.5, 0.6667), (2, 0, 0, 0), (3, 0, 0, 0)]
+
+
+def test_quotes(spark):
+    for text in ("plain", "O'Neil", 'say "x"', "O'Neil \"x\"", "a\\b", "line\nend\t"):
+        assert one(spark, comments.quoted(F.lit(text))) == repr(text)
+
+
+def test_weighted_means(spark):
+    ents = spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 1, None), (1, 3, 9, 1.0), (1, 4, 9, 1.0), (2, 3, 1, 1.0)], "id bigint, key bigint, count bigint, given double")
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [4.0, 3.0]), (3, [0.0, 0.0])], "key bigint, vec array<double>")
+    got = {(r["id"], r["dim"]): r["value"] for r in kg.weighted_mean_vectors(ents, vecs, 2).collect()}
+    assert got == {(1, 0): 2.0, (1, 1): 1.0, (2, 0): 0.0, (2, 1): 0.0}
+
+
+def test_translation_blocks(spark):
+    """Every entity and relation has a vector with one block and with several, and training brings true triples nearer than false ones."""
+    rows = spark.createDataFrame([(f"a{i}", f"r{i % 2}", f"b{i // 4}") for i in range(200)] + [(None, "r", "x"), ("a1", "r1", "b0")], "h string, r string, t string")
+    for size in (10_000, 60):
+        got = {(r["kind"], r["key"]): r["vec"] for r in transe.train(rows, dim=8, rate=0.05, block_triples=size).collect()}
+        assert len(got) == 200 + 50 + 2 and all(len(v) == 8 for v in got.values())
+        away = lambda h, r, t: math.dist([x + y for x, y in zip(got["entity", h], got["relation", r])], got["entity", t])
+        near, far = (sum(away(f"a{i}", f"r{i % 2}", f"b{(i // 4 + k) % 50}") for i in range(200)) for k in (0, 20))
+        assert near < 0.9 * far
+    assert transe.train(rows.where("false"), dim=8).count() == 0
+
+
+def test_nested_ontology(spark):
+    import json
+
+    nodes = spark.createDataFrame([("A", 1, None, "P1,P2"), ("A.x", 2, "A", ""), ('A.q"', 2, "A", "P3"), ("B", 1, None, "")], "path string, level int, parent string, attributes string")
+    got = json.loads(kg.nested(nodes).first()[0])
+    assert set(got) == {"A", "B"} and got["A"]["attributes"] == ["P1", "P2"] and got["A"]["children"]['q"']["attributes"] == ["P3"] and got["B"]["parent"] is None and got["B"]["children"] == {}
+    assert [r["path"] for r in kg.all_classes(nodes).orderBy("path").collect()] == ["A", 'A.q"', "A.x", "B"]
+
+
+def test_encoder_sees_each_sentence_once(spark):
+    rows = spark.createDataFrame([(1, ["s", "s", "t"]), (2, []), (3, None)], "id bigint, sentences array<string>")
+    seen = []
+
+    def encoder(flat):
+        seen.append(flat.count())
+        return flat.withColumn("vec", F.array(F.when(F.col("sentence") == "s", 3.0).otherwise(0.0)))
+
+    got = {r["id"]: r["value"] for r in tfidf.encode_spans(rows, encoder, 1).collect()}
+    assert got == {1: 2.0, 2: 0.0, 3: 0.0} and seen == [2]
+
+
+def test_history(spark):
+    docs = spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", i % 2, "train") for i in range(20)], "id bigint, text string, label int, split string")
+    rows = classify.history(docs, 64, 5).orderBy("epoch").collect()
+    assert len(rows) >= 2 and rows[-1]["loss"] < rows[0]["loss"]
+
+
+def test_paraphrase_hook(spark):
+    rows = spark.createDataFrame([(1, ["big", "cat"])], "id bigint, tokens array<string>")
+    none, topics = spark.createDataFrame([], "word string, synonyms array<string>"), spark.createDataFrame([], "word string")
+    assert augment.augmented(rows, none, topics).first()["tokens"] == ["big", "cat"]
+    assert augment.augmented(rows, none, topics, paraphrase=lambda r: r.withColumn("tokens", F.reverse("tokens"))).first()["tokens"] == ["cat", "big"]
+
+
 def test_majority(spark):
     rows = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (1, 0), (2, 1), (2, 1), (2, 0)], "id int, predicted int")
     assert {r["id"]: r["verdict"] for r in metrics.majority(rows).collect()} == {1: "REAL", 2: "FAKE"}
