@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,17 +24,28 @@ def pipeline(features: int = 1 << 18, iterations: int = 200) -> Pipeline:
     )
 
 
+def scored(model: PipelineModel, docs: DataFrame) -> DataFrame:
+    """(id, split, label, score): probability of the positive label of all rows."""
+    return model.transform(docs).select("id", "split", "label", vector_to_array("probability")[1].alias("score"))
+
+
+def losses(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """(run, epoch, loss): the training loss of each iteration of a classifier just fitted, epoch 0 before the first."""
+    return spark.createDataFrame([("hashing_logreg", i, float(x)) for i, x in enumerate(model.stages[-1].summary.objectiveHistory)], "run string, epoch bigint, loss double")  # one row an iteration
+
+
+def fitted(docs: DataFrame, features: int, iterations: int) -> PipelineModel:
+    return pipeline(features, iterations).fit(docs.where("split = 'train' and label is not null"))
+
+
 def train_and_score(docs: DataFrame, features: int = 1 << 18, iterations: int = 200) -> DataFrame:
     """(id, split, label, score): probability of the positive label of all rows by a model of the labelled training rows."""
-    model = pipeline(features, iterations).fit(docs.where("split = 'train' and label is not null"))
-    return model.transform(docs).select("id", "split", "label", vector_to_array("probability")[1].alias("score"))
+    return scored(fitted(docs, features, iterations), docs)
 
 
 def history(docs: DataFrame, features: int = 1 << 18, iterations: int = 200) -> DataFrame:
-    """(run, epoch, loss): the training loss of each iteration of the classifier's fit, epoch 0 before the first."""
-    model = pipeline(features, iterations).fit(docs.where("split = 'train' and label is not null"))
-    losses = model.stages[-1].summary.objectiveHistory
-    return docs.sparkSession.createDataFrame([("hashing_logreg", i, float(x)) for i, x in enumerate(losses)], "run string, epoch bigint, loss double")  # one row an iteration
+    """(run, epoch, loss) of the fit of train_and_score."""
+    return losses(fitted(docs, features, iterations), docs.sparkSession)
 
 
 def masked(vec: str, mode: str, keeps: tuple[str, ...]):

@@ -17,6 +17,11 @@ def articles(table: DataFrame) -> DataFrame:
     return table.select(F.col("article_no").alias("id"), X.whole(F.col("title")).alias("title"), X.whole(F.col("text")).alias("text"), label.cast("int").alias("label"), "split")
 
 
+def capped(docs: DataFrame, most: int) -> DataFrame:
+    """The first `most` documents by id, all of them for 0."""
+    return docs.orderBy("id").limit(most) if most > 0 else docs
+
+
 def token_counts(docs: DataFrame, pattern: str = X.WORDS, text: str = "text") -> DataFrame:
     """(token, n) over the whole corpus."""
     return docs.select(F.explode(X.tokens(F.col(text), pattern)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))

@@ -51,7 +51,17 @@ t as (
 ), cells as (select e, p, arg_max(v, triple_no) as v from c where v is not null group by e, p)
 """
 
+#: The properties of the test tables: the named ones and 40 of one series.
+_COLUMNS = (*stitch.DATES, *stitch.WHOLE, "P106", "P159", "P17", "P19", "P27", "P279", "P31", *(f"P{9100 + 7 * i}" for i in range(40)))
+
+
+def _cell(p: str) -> str:
+    kind = "date" if p in stitch.DATES else "bigint" if p in stitch.WHOLE else "varchar"
+    return f"cast(max(v) filter (p = '{p}') as {kind}) as {p}"
+
+
 ORACLE = {
+    "p2_wide": f"with {_CELLS}, all_e as (select distinct e from t where e is not null and p is not null) select e, {', '.join(map(_cell, _COLUMNS))} from all_e left join cells using (e) group by e",
     "p2_found": f"with {_CELLS} select e, p, v from cells",
     "p2_columns": f"with {_CELLS} select p, count(*) as n_entities, count(distinct v) as n_values from cells group by p",
 }

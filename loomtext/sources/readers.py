@@ -76,7 +76,7 @@ def histories(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.select("model", F.explode(F.coalesce(bare, wrapped)).alias("e")).select("model", "e.epoch", "e.train_loss", "e.val_loss")
 
 
-def eob_schema(spark: SparkSession, path: str, depth: int = 5) -> DataFrame:
+def ontology_file(spark: SparkSession, path: str, depth: int = 5) -> DataFrame:
     """(path, level, attributes) of a nested ontology file, to `depth` levels."""
     node = T.StructType([T.StructField("attributes", T.ArrayType(T.StringType()))])
     for _ in range(depth):
@@ -90,7 +90,16 @@ def eob_schema(spark: SparkSession, path: str, depth: int = 5) -> DataFrame:
     return out.where("level > 0")
 
 
-def file_signatures(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, modified) of the files at a path, without reading their contents."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    return rows.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+def file_signatures(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, exists, size, modified) of the files at each path, without reading their contents; a path without files gives one row with exists = false."""
+    schema = "file string, exists boolean, size bigint, modified timestamp"
+    out = spark.createDataFrame([], schema)
+    for p in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+        if found is None or not len(found):
+            out = out.union(spark.createDataFrame([(p, False, None, None)], schema))
+            continue
+        rows = spark.read.format("binaryFile").load(p)
+        out = out.union(rows.select("path", F.lit(True), "length", "modificationTime"))
+    return out

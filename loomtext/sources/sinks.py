@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import kb
+from ..operators import kb, kg
 
 
 def append_lines(rows: DataFrame, path: str) -> None:
@@ -43,6 +44,12 @@ def crossview_object(crossview: DataFrame) -> DataFrame:
     return crossview.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("qid", "class_path"))))).alias("json"))
 
 
+def ontology_file(nodes: DataFrame, path: str) -> None:
+    """Write (path, level, parent, attributes) as one nested JSON object under a root without attributes."""
+    root = F.concat(F.lit('{"name":"root","level":0,"parent":null,"attributes":[],"children":'), "json", F.lit("}"))
+    kg.nested(nodes).select(root.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
     """A Markdown table of a report's rows, at most `limit`."""
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
@@ -103,6 +110,22 @@ class KeyedTables:
         where, fs = _fs(self.spark, path)
         return fs.delete(where, True)
 
+    def names(self) -> list[str]:
+        """Tables whose manifest is there."""
+        if not _exists(self.spark, self.root):
+            return []
+        where, fs = _fs(self.spark, self.root)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory() and _exists(self.spark, f"{self.root}/{s.getPath().getName()}/manifest"))
+
+    def clear_all(self) -> int:
+        """Delete all tables; how many there were."""
+        return sum(self.clear(n) for n in self.names())
+
+    def get(self, name: str, settings: dict, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table made with these settings; it is made and kept where there is none."""
+        kept = self.load(name, settings)
+        return kept if kept is not None else self.save(name, make(), settings)
+
 
 def _fs(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -41,7 +41,7 @@ def test_vectors_reports_histories(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("Q1", "A.B"), ("Q2", "A.C")]
     assert json.loads(sinks.crossview_object(got).first()[0]) == {"Q1": "A.B", "Q2": "A.C"}
     (tmp_path / "o.json").write_text('{"attributes": [], "children": {"D": {"attributes": ["P1"], "children": {"c": {"attributes": ["P2"], "children": {}}}}}}')
-    assert [(r["path"], r["level"], r["attributes"]) for r in readers.eob_schema(spark, str(tmp_path / "o.json")).orderBy("level").collect()] == [("D", 1, ["P1"]), ("D.c", 2, ["P2"])]
+    assert [(r["path"], r["level"], r["attributes"]) for r in readers.ontology_file(spark, str(tmp_path / "o.json")).orderBy("level").collect()] == [("D", 1, ["P1"]), ("D.c", 2, ["P2"])]
 
 
 def test_keyed_tables(spark, tmp_path):
@@ -80,6 +80,35 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert cli.main(["run", "label_stats", "--data", data, "--out", str(tmp_path / "o")]) == 0
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
     assert "## Duplicates" in corpus_report(spark, data)
+    last = lambda: json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    out = str(tmp_path / "m")
+    cli.main(["ontology", "--data", data, "--out", out])
+    assert last()["classes"] == readers.ontology_file(spark, f"{out}/ontology").count()
+    cli.main(["warm", "--data", data, "--out", f"{out}/wanted", "--max-articles", "40", "--max-mentions", "5"])
+    assert last()["wanted"] == 5
+    cli.main(["stats", "--data", data, "--max-articles", "30"])
+    assert last()["n_docs"] == 30
+    cli.main(["cache", "fill", "--root", f"file://{out}/cache", "--data", data])
+    assert len(last()["tables"]) == 5
+    cli.main(["cache", "clear", "--root", f"file://{out}/cache"])
+    assert last()["cleared"] == 5
+
+
+def test_training_output(spark, data, tmp_path, capsys, monkeypatch):
+    from loomtext import cli
+    from loomtext.operators import classify
+
+    real = classify.pipeline
+    monkeypatch.setattr(classify, "pipeline", lambda *a: real(1 << 10, 3))
+    last = lambda: json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    cli.main(["models", "--out", str(tmp_path / "t")])
+    assert not any(last().values())
+    cli.main(["train", "--data", data, "--out", str(tmp_path / "t")])
+    assert last()["n"] > 0
+    cli.main(["models", "--out", str(tmp_path / "t")])
+    assert all(last().values())
+    cli.main(["score", "some words", "--model", str(tmp_path / "t" / "model")])
+    assert 0 <= last()["probability"] <= 1
     assert F is not None
 
 
@@ -100,5 +129,41 @@ def test_settings(tmp_path):
 
 def test_file_signatures(spark, tmp_path):
     (tmp_path / "x.bin").write_text("abc")
-    row = readers.file_signatures(spark, str(tmp_path / "x.bin")).first()
-    assert row["size"] == 3 and row["modified"] is not None
+    found, none = readers.file_signatures(spark, str(tmp_path / "x.bin"), str(tmp_path / "none.bin")).orderBy("size", ascending=False).collect()
+    assert found["exists"] and found["size"] == 3 and found["modified"] is not None and not none["exists"] and none["size"] is None
+
+
+def test_ontology_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("A", 1, None, "P1,P2"), ("A.x", 2, "A", ""), ("B", 1, None, "")], "path string, level int, parent string, attributes string")
+    sinks.ontology_file(nodes, str(tmp_path / "o"))
+    got = {r["path"]: (r["level"], r["attributes"]) for r in readers.ontology_file(spark, str(tmp_path / "o")).collect()}
+    assert got == {"A": (1, ["P1", "P2"]), "A.x": (2, []), "B": (1, [])}
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """Rows further behind the newest seen than the watermark allows no longer count."""
+    src = tmp_path / "events"
+    day = lambda n, value: spark.sql(f"select timestamp '2024-01-{n:02} 12:00:00' as ts, 'view' as event_type, {value}.0D as value").coalesce(1).write.parquet(f"{src}/{n:02}-{value}")
+
+    def run():
+        windows = S.event_windows(S.stream_table(spark, str(src)), late="1 day")
+        query = windows.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+        query.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    for n, value in ((1, 1), (10, 2), (2, 4)):
+        day(n, value)
+        run()
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy(F.to_date("start").cast("string").alias("d")).agg(F.max("total").alias("t")).collect()
+    assert {r["d"]: r["t"] for r in got} == {"2024-01-01": 1.0, "2024-01-10": 2.0}
+
+
+def test_scratch_tables_end_with_their_block(spark):
+    from pathlib import Path
+
+    from loomtext import scratch
+
+    with scratch.tables():
+        scratch.keep(spark.range(3), "short")
+        path = Path(scratch.path_of().removeprefix("file://"))
+        assert path.exists()
+    assert not path.exists()
