@@ -219,6 +219,8 @@ bit as (select distinct cast('0x' || substr(md5(i || '|' || item), 1, 15) as big
 _MENTIONS = f"""with f as (select *, row_number() over (partition by article_no, lower(text) order by start_pos nulls first, mention_id) as k from mentions where text is not null and label in {KEEP_LABELS}),
         p as (select *, row_number() over (partition by article_no order by start_pos nulls first, mention_id) as pos from f where k = 1) select article_no, pos, mention_id, text, label from p where pos <= 25"""
 
+_CAPITALS = r"\b[A-Z][a-zA-Z''\-]+(?:\s+[A-Z][a-zA-Z''\-]+){0,3}\b"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -266,6 +268,11 @@ ORACLE = {
     "mention_frequency": f"with {_CLEAN} select clean as mention, count(*) as n, row_number() over (order by count(*) desc, clean) as rank from clean where length(clean) >= 2 and not regexp_full_match(clean, '[0-9]+') group by clean order by n desc, clean limit 8000",
     "clean_mentions": f"with {_CLEAN} select mention_id, clean, length(clean) < 2 or regexp_full_match(clean, '[0-9]+') as noise from clean",
     "article_mentions": _MENTIONS,
+    "regex_mention_offsets": rf"""with {DOCS}, t as (select id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') as t from docs),
+        m as (select id, regexp_extract_all(t, '{_CAPITALS}') as ms, str_split_regex(t, '{_CAPITALS}') as ps from t), u as (select id, ms, ps, unnest(range(1, len(ms) + 1)) as k from m),
+        o as (select id, k, ms[k] as text, list_sum(list_transform(ps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) as start from u)
+        select id, row_number() over (partition by id order by k) - 1 as pos, text, 'MISC' as label, start, start + length(text) as "end"
+        from o where regexp_extract(text, '^\S+') not in ('The', 'A', 'An', 'On', 'In', 'Of', 'At', 'And', 'To')""",
     "regex_mentions": rf"""with {DOCS}, m as (select id, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\b([A-Z][a-zA-Z''\-]+(?:\s+[A-Z][a-zA-Z''\-]+){{0,3}})\b', 1)) as mention from docs)
         select id, mention, count(*) as n from m where regexp_extract(mention, '^\S+') not in ('The', 'A', 'An', 'On', 'In', 'Of', 'At', 'And', 'To') group by all""",
 }

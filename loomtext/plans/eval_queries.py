@@ -264,6 +264,13 @@ ORACLE = {
         t as (select id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as token from (select id, list_transform(regexp_extract_all(title || ' ' || text, '[A-Za-z]+'), lambda z: lower(z)) as x from docs)),
         h as (select *, cast('0x' || substr(md5('1|' || id || '|' || pos), 1, 15) as bigint) / 1152921504606846976.0::double as u, cast('0x' || substr(md5('2|' || id || '|' || pos), 1, 15) as bigint) as h from t)
         select id, pos, case when u < 0.5 and token not in ('the', 'and') and len(syn) > 0 then syn[h % len(syn) + 1] else token end as token from h left join y on y.word = token""",
+    "coverage_filtered": f"""with recursive {DOCS}, t as (select id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda z: lower(z)) as w from docs),
+        c as (select id, w, 0 as i, null::varchar as last, 0 as kept, 0 as again, []::varchar[] as pairs from t
+          union all
+          select id, w, i + 1, case when fits then tok else last end, kept + fits::int, again, case when kept > 0 then list_append(pairs, last || ' ' || tok) else pairs end
+          from (select id, w, i, last, kept, pairs, tok, again + known::int as again, kept = 0 or again + known::int <= 0.05 * kept as fits
+            from (select *, w[i + 1] as tok, kept > 0 and list_contains(pairs, last || ' ' || w[i + 1]) as known from c where i < len(w))))
+        select id, kept as n_kept from c where i = len(w)""",
     "comment_flags": f"""with am as ({_MENTIONS}), {_CLEAN}, {_LAST}, l as (select am.*, case when coalesce(record.qid, '') <> '' and not {_NM} then record end as rec from am join clean using (mention_id) left join lw on key = lower(clean)),
         k as (select l.*, claims['P31'] as c from l left join kb_claims on kb_claims.qid = rec.qid),
         r as (select *, case when rec is null then {_QUOTED} || ': no Wikidata match found' when not {_FITS} and {_CLASH} then {_QUOTED} || ' (NER: ' || label || ') -> linked to ''' || coalesce(rec.label, rec.qid) || ''' [' || coalesce(rec.description, '(no description)') || '], which does not look like a ' || label end as reason from k),

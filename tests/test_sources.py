@@ -112,6 +112,14 @@ def test_training_output(spark, data, tmp_path, capsys, monkeypatch):
     assert F is not None
 
 
+def test_link_caption(spark, data):
+    from loomtext.plans import registry
+    from loomtext.report import link_caption
+
+    row = registry.QUERIES["offline_link_counters"](spark, data).first()
+    assert link_caption(row) == f"{row['hits'] + row['misses']} mentions: {row['hits']} in the cache, {row['misses']} not, {row['resolved']} resolved"
+
+
 def test_settings(tmp_path):
     import pytest
 
