@@ -50,8 +50,8 @@ SPECIFIC, TOP_FULL = 0.8, 4
 MAX_HABITS = 50_000
 #: Known words up to which they form one cell, cells by length, and cells by length and letters beyond.
 ONE_CELL, BY_LENGTH = 200_000, 4_000_000
-#: Spelled words walked together at least, so that building a trie costs no more than walking it.
-BLOCK = 5_000
+#: Spelled words walked together at least, and no fewer than the cell has known words, so that building a trie costs no more than walking it.
+BLOCK = 2_000
 _LONGEST = 63
 _WORD = re.compile("[a-z]+")
 
@@ -335,6 +335,8 @@ def near_words(asked: DataFrame, known: DataFrame, by: int | None = None, block:
     blocks = F.broadcast(sizes.select("cell", F.ceil(F.col("a") / F.greatest("k", F.lit(block))).cast("int").alias("blocks")))  # 4 096 cells at most
     left = left.join(blocks, "cell").select("w", "cell", F.pmod(F.xxhash64("w"), "blocks").cast("int").alias("block"))
     right = right.join(blocks, "cell").select("n", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    tasks = max(2 * asked.sparkSession.sparkContext.defaultParallelism, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = left.repartition(tasks, "cell", "block"), right.repartition(tasks, "cell", "block")  # blocks are few and costly: not to be coalesced into one task
     return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(_walk, "w string, n string, d int")
 
 
