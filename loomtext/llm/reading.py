@@ -189,15 +189,20 @@ def cut_points(score: np.ndarray, level: np.ndarray, levels: int = 4) -> np.ndar
     return np.maximum.accumulate(np.array(cuts))
 
 
-def cross_validated(x: np.ndarray, y: np.ndarray, source: np.ndarray, folds: int = 5) -> np.ndarray:
-    """Scores of every row by trees that saw no row of its source."""
+def folds_of(source: np.ndarray, folds: int = 5) -> np.ndarray:
+    """Fold of each row; a source lies in one fold, and folds are about as large."""
     names, at = np.unique(source, return_inverse=True)
     size = np.bincount(at)
     load, fold_of = np.zeros(folds), np.zeros(len(names), int)
     for s in np.argsort(-size, kind="stable"):
         fold_of[s] = load.argmin()
         load[fold_of[s]] += size[s]
-    fold, out = fold_of[at], np.full(len(y), y.mean())
+    return fold_of[at]
+
+
+def cross_validated(x: np.ndarray, y: np.ndarray, source: np.ndarray, folds: int = 5) -> np.ndarray:
+    """Scores of every row by trees that saw no row of its source."""
+    fold, out = folds_of(source, folds), np.full(len(y), y.mean())
     for f in range(folds):
         held = fold == f
         if held.any() and not held.all():
@@ -258,14 +263,18 @@ def reading_levels(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
 
 def validation(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(source, n, share_right, share_within_1, mean_error) of held-out grades against the raters' levels, by source; no rows without labels."""
+    """(source, n, share_right, share_within_1, mean_error) of held-out grades against the raters' levels, by source; no rows without labels. Neither the trees nor the cut points saw a row of the source they grade."""
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("share_right", "share_within_1", "mean_error"))])
     known = _labelled(feature_table(docs), labels, max_labelled)
     if known is None:
         return docs.sparkSession.createDataFrame([], schema)
     x, y, source = known
     score = cross_validated(x, y, source)
-    grade = 1 + np.searchsorted(cut_points(score, y), score, "right")
+    fold, grade = folds_of(source), np.ones(len(y), np.int64)
+    for f in np.unique(fold):
+        held = fold == f
+        seen = ~held if (~held).any() else held  # one source alone has no other to learn cuts from
+        grade[held] = 1 + np.searchsorted(cut_points(score[seen], y[seen]), score[held], "right")
     rows = []
     for s in np.unique(source):
         own = source == s
