@@ -112,9 +112,11 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, d: str):
-    """Rows of linked_entities with their qid, resolved ones in short, the known names, and the habits of the resolved rows."""
-    linked = _read(spark, d, "linked_entities").withColumn("known", normal_qid(F.col("qid")))
-    resolved = linked.where("known is not null").select(F.col("link_id").alias("id"), F.col("article_no").alias("grp"), names.spelling_of(F.col("mention")).alias("spelling"), F.col("known").alias("qid"))
+    """Rows of linked_entities in short, normalised once for all the steps that read them, the resolved ones among them, and the known names."""
+    linked = _read(spark, d, "linked_entities")
+    short = linked.select("link_id", "mention_id", "article_no", names.spelling_of(F.col("mention")).alias("spelling"), normal_qid(F.col("qid")).alias("known"))
+    linked = scratch.keep(short, "linked")
+    resolved = linked.where("known is not null").select(F.col("link_id").alias("id"), F.col("article_no").alias("grp"), "spelling", F.col("known").alias("qid"))
     table = scratch.keep(names.known_names(_read(spark, d, "kb_search")), "known")
     return linked, resolved, table
 
@@ -122,7 +124,7 @@ def _names(spark: SparkSession, d: str):
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     linked, resolved, table = _names(spark, d)
     habits = names.learn(resolved.select("spelling", "qid"), table)
-    found = names.link_variants(linked.where("known is null"), "link_id", "mention", "article_no", table, resolved.select("grp", "qid"), habits)
+    found = names.link_variants(linked.where("known is null"), "link_id", "spelling", "article_no", table, resolved.select("grp", "qid"), habits)
     return found.select(F.col("id").alias("link_id"), "qid")
 
 
